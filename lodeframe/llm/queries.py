@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import packing, quality_rules
+from lodeframe.llm import mixing, packing, quality_rules, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3,
+    "op8_mixing": mixing.op8,
+    "op9_url_filter": url_filter.op9,
     "op10_quality_rules": quality_rules.op10,
 }
-ORACLE = {"op10_quality_rules": quality_rules.SQL}
+ORACLE = {"op8_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
