@@ -186,13 +186,17 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", **more) -> DataFrame:
-    """The documents whose id is the smallest of their component; of rows that repeat that id, one."""
-    keep = simhash_groups(docs, doc_id=doc_id, **more).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.dropDuplicates([doc_id]).join(keep, doc_id, "left_semi") if _repeats(docs, doc_id) else docs.join(keep, doc_id, "left_semi")
-
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    return not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    """The documents whose id is the smallest of their component; of rows that repeat that id, one.
+
+    Rows without an id stay, as nothing tells them apart.
+    """
+    found = simhash_groups(docs, doc_id=doc_id, **more)
+    keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")).distinct()
+    repeats = not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    if repeats:
+        none, some = docs.where(F.col(doc_id).isNull()), docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+        docs = some.unionByName(none)
+    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
