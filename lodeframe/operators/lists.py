@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_W = Window.partitionBy("key")
+
+
+def _w():
+    return Window.partitionBy("key")
 
 
 def indexed(lists: DataFrame) -> DataFrame:
     """Adds index (from 0) and n, the list's length."""
-    i = (F.row_number().over(_W.orderBy("pos")) - 1).cast("long")
-    return lists.withColumn("index", i).withColumn("n", F.count("*").over(_W))
+    i = (F.row_number().over(_w().orderBy("pos")) - 1).cast("long")
+    return lists.withColumn("index", i).withColumn("n", F.count("*").over(_w()))
 
 
 def _at(i: int) -> Column:
@@ -41,7 +44,7 @@ def set_element(lists: DataFrame, i: int, value: str) -> DataFrame:
 def push(lists: DataFrame, more: DataFrame, left: bool = False) -> DataFrame:
     """more (key, seq, value) put at the end, or one after the other at the front, of their lists."""
     ends = lists.groupBy("key").agg((F.min("pos") if left else F.max("pos")).alias("_end"))
-    i = F.row_number().over(_W.orderBy("seq"))
+    i = F.row_number().over(_w().orderBy("seq"))
     new = more.withColumn("_i", i).join(ends, "key", "left")
     end = F.coalesce("_end", F.lit(0))
     return lists.select("key", "pos", "value").unionByName(new.select("key", (end - F.col("_i") if left else end + F.col("_i")).alias("pos"), "value"))
@@ -68,13 +71,13 @@ def remove(lists: DataFrame, value: Column, count: int) -> DataFrame:
     if count == 0:
         return lists.where(~F.coalesce(hit, F.lit(False)))
     order = F.col("pos") if count > 0 else F.col("pos").desc()
-    i = F.sum(F.coalesce(hit, F.lit(False)).cast("int")).over(_W.orderBy(order))
+    i = F.sum(F.coalesce(hit, F.lit(False)).cast("int")).over(_w().orderBy(order))
     return lists.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_i", i).where(~F.col("_hit") | (F.col("_i") > abs(count))).drop("_hit", "_i")
 
 
 def insert(lists: DataFrame, pivot: Column, value: str, after: bool = False) -> DataFrame:
     """value before (after) the first element equal to pivot, in lists that hold it; positions are doubled to make room."""
-    at = F.min(F.when(F.col("value") == pivot, F.col("pos"))).over(_W)
+    at = F.min(F.when(F.col("value") == pivot, F.col("pos"))).over(_w())
     marked = lists.withColumn("_at", at)
     old = marked.select("key", (F.col("pos") * 2).alias("pos"), "value")
     new = marked.where(F.col("pos") == F.col("_at")).select("key", (F.col("pos") * 2 + (1 if after else -1)).alias("pos"), F.lit(value).alias("value"))
@@ -88,7 +91,7 @@ def positions(lists: DataFrame, where: Column, rank: int = 1, count: int = 1, ma
     look = indexed(lists)
     if maxlen:
         look = look.where(F.col("index") >= F.col("n") - maxlen if back else F.col("index") < maxlen)
-    found = look.where(where).withColumn("_i", F.row_number().over(_W.orderBy(F.col("index").desc() if back else F.col("index"))))
+    found = look.where(where).withColumn("_i", F.row_number().over(_w().orderBy(F.col("index").desc() if back else F.col("index"))))
     last = abs(rank) + count - 1 if count else None
     found = found.where(F.col("_i") >= abs(rank))
     return (found.where(F.col("_i") <= last) if last else found).select("key", "index", "value")

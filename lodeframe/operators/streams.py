@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID = ["ms", "seq"]
-_W = Window.partitionBy("key")
+
+
+def _w():
+    return Window.partitionBy("key")
 
 
 def id_of(ms: str = "ms", seq: str = "seq") -> Column:
@@ -42,13 +45,13 @@ def range_(stream: DataFrame, low: tuple[int, int], high: tuple[int, int], count
     if count is None:
         return found
     order = [F.col(c).desc() if descending else F.col(c) for c in ID]
-    return found.withColumn("_i", F.row_number().over(_W.orderBy(*order))).where(F.col("_i") <= count).drop("_i")
+    return found.withColumn("_i", F.row_number().over(_w().orderBy(*order))).where(F.col("_i") <= count).drop("_i")
 
 
 def read(stream: DataFrame, offsets: DataFrame, count: int) -> DataFrame:
     """offsets (key, last_ms, last_seq): up to `count` entries after each."""
     new = stream.join(offsets, "key").where((F.col("ms") > F.col("last_ms")) | ((F.col("ms") == F.col("last_ms")) & (F.col("seq") > F.col("last_seq"))))
-    return new.drop("last_ms", "last_seq").withColumn("_i", F.row_number().over(_W.orderBy(*ID))).where(F.col("_i") <= count).drop("_i")
+    return new.drop("last_ms", "last_seq").withColumn("_i", F.row_number().over(_w().orderBy(*ID))).where(F.col("_i") <= count).drop("_i")
 
 
 def length(stream: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def delete(stream: DataFrame, ids: DataFrame) -> DataFrame:
 
 def trim_to_length(stream: DataFrame, n: int) -> DataFrame:
     """The last n entries of each stream."""
-    return stream.withColumn("_i", F.row_number().over(_W.orderBy(F.col("ms").desc(), F.col("seq").desc()))).where(F.col("_i") <= n).drop("_i")
+    return stream.withColumn("_i", F.row_number().over(_w().orderBy(F.col("ms").desc(), F.col("seq").desc()))).where(F.col("_i") <= n).drop("_i")
 
 
 def trim_to_id(stream: DataFrame, low: tuple[int, int]) -> DataFrame:

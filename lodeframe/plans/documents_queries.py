@@ -25,39 +25,40 @@ def _docs(k, d):
     return p.select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), tags.alias("tags"), nums.alias("nums"), nest.alias("nest"))).alias("doc"))
 
 
-D = F.col("doc")
+def D():
+    return F.col("doc")
 
 
 def _j(name, make, sql):
     _q(name, lambda k, d: _docs(k, d).select("p_partkey", make().alias("v")), f"SELECT p_partkey, {sql} AS v FROM part")
 
 
-_j("json_get", lambda: js.get(D, "$.nest.brand"), "p_brand")
-_j("json_get_index", lambda: js.get(D, ".nums[-1]"), "(p_size + 1)::VARCHAR")
-_j("json_get_quoted", lambda: js.get(D, "$['nest']['deep']['large']"), "(p_size > 25)::VARCHAR")
-_j("json_type", lambda: F.concat_ws(",", *[js.type_of(D, p) for p in ("$", "$.name", "$.size", "$.tags", "$.nest.deep.large")]), "'object,string,number,array,boolean'")
-_j("json_numincrby", lambda: js.number(D, "$.size") + 1.5, "p_size + 1.5::DOUBLE")
-_j("json_nummultby", lambda: js.number(D, "$.nums[1]") * 3, "21.0::DOUBLE")
-_j("json_arrlen", lambda: js.array_length(D, "$.tags"), "4::BIGINT")
-_j("json_arrindex", lambda: js.array_index(D, "$.tags", "x", 1), "(CASE WHEN p_type = 'x' THEN 1 WHEN p_brand = 'x' THEN 2 ELSE 3 END)::BIGINT")
-_j("json_arrappend", lambda: js.array_append(D, "$.nums", F.lit("99")), "'[' || p_size || ',7,' || p_size + 1 || ',99]'")
-_j("json_arrinsert", lambda: js.array_insert(D, "$.nums", 1, F.lit("0")), "'[' || p_size || ',0,7,' || p_size + 1 || ']'")
-_j("json_arrtrim", lambda: js.array_trim(D, "$.nums", 0, -2), "'[' || p_size || ',7]'")
-_j("json_arrpop", lambda: F.concat_ws(" ", *js.array_pop(D, "$.nums", 0)), "p_size || ' [7,' || p_size + 1 || ']'")
-_j("json_objkeys", lambda: F.array_join(js.object_keys(D, "$.nest"), ","), "'brand,deep'")
-_j("json_objlen", lambda: F.size(js.object_keys(D)).cast("long"), "5::BIGINT")
-_j("json_strlen", lambda: js.string_length(D, "$.name"), "strlen(p_name)")
-_j("json_strappend", lambda: F.concat(js.get(D, "$.name"), F.lit("!")), "p_name || '!'")
-_j("json_toggle", lambda: js.toggle(D, "$.nest.deep.large"), "NOT p_size > 25")
-_j("json_clear", lambda: F.concat_ws(" ", js.cleared(D, "$.tags"), js.cleared(D, "$.size"), js.cleared(D, "$.nest"), js.cleared(D, "$.name")), "'[] 0 {} ' || p_name")
-_j("json_set", lambda: js.get(js.set_field(D, "size", F.lit('"big"')), "$.size"), "'big'")
-_j("json_set_nx", lambda: js.get(js.set_field(D, "size", F.lit("1"), "nx"), "$.size"), "p_size::VARCHAR")
-_j("json_del", lambda: F.array_join(js.object_keys(js.delete_field(D, "tags")), ","), "'name,size,nums,nest'")
-_j("json_merge", lambda: (lambda m: F.concat_ws(" ", js.get(m, "$.size"), F.coalesce(js.get(m, "$.name"), F.lit("-")), js.get(m, "$.nest"), js.get(m, "$.extra")))(js.merge(D, F.lit('{"name":null,"nest":{"a":1},"extra":true}'))), "p_size || ' - {\"a\":1} true'")
+_j("json_get", lambda: js.get(D(), "$.nest.brand"), "p_brand")
+_j("json_get_index", lambda: js.get(D(), ".nums[-1]"), "(p_size + 1)::VARCHAR")
+_j("json_get_quoted", lambda: js.get(D(), "$['nest']['deep']['large']"), "(p_size > 25)::VARCHAR")
+_j("json_type", lambda: F.concat_ws(",", *[js.type_of(D(), p) for p in ("$", "$.name", "$.size", "$.tags", "$.nest.deep.large")]), "'object,string,number,array,boolean'")
+_j("json_numincrby", lambda: js.number(D(), "$.size") + 1.5, "p_size + 1.5::DOUBLE")
+_j("json_nummultby", lambda: js.number(D(), "$.nums[1]") * 3, "21.0::DOUBLE")
+_j("json_arrlen", lambda: js.array_length(D(), "$.tags"), "4::BIGINT")
+_j("json_arrindex", lambda: js.array_index(D(), "$.tags", "x", 1), "(CASE WHEN p_type = 'x' THEN 1 WHEN p_brand = 'x' THEN 2 ELSE 3 END)::BIGINT")
+_j("json_arrappend", lambda: js.array_append(D(), "$.nums", F.lit("99")), "'[' || p_size || ',7,' || p_size + 1 || ',99]'")
+_j("json_arrinsert", lambda: js.array_insert(D(), "$.nums", 1, F.lit("0")), "'[' || p_size || ',0,7,' || p_size + 1 || ']'")
+_j("json_arrtrim", lambda: js.array_trim(D(), "$.nums", 0, -2), "'[' || p_size || ',7]'")
+_j("json_arrpop", lambda: F.concat_ws(" ", *js.array_pop(D(), "$.nums", 0)), "p_size || ' [7,' || p_size + 1 || ']'")
+_j("json_objkeys", lambda: F.array_join(js.object_keys(D(), "$.nest"), ","), "'brand,deep'")
+_j("json_objlen", lambda: F.size(js.object_keys(D())).cast("long"), "5::BIGINT")
+_j("json_strlen", lambda: js.string_length(D(), "$.name"), "strlen(p_name)")
+_j("json_strappend", lambda: F.concat(js.get(D(), "$.name"), F.lit("!")), "p_name || '!'")
+_j("json_toggle", lambda: js.toggle(D(), "$.nest.deep.large"), "NOT p_size > 25")
+_j("json_clear", lambda: F.concat_ws(" ", js.cleared(D(), "$.tags"), js.cleared(D(), "$.size"), js.cleared(D(), "$.nest"), js.cleared(D(), "$.name")), "'[] 0 {} ' || p_name")
+_j("json_set", lambda: js.get(js.set_field(D(), "size", F.lit('"big"')), "$.size"), "'big'")
+_j("json_set_nx", lambda: js.get(js.set_field(D(), "size", F.lit("1"), "nx"), "$.size"), "p_size::VARCHAR")
+_j("json_del", lambda: F.array_join(js.object_keys(js.delete_field(D(), "tags")), ","), "'name,size,nums,nest'")
+_j("json_merge", lambda: (lambda m: F.concat_ws(" ", js.get(m, "$.size"), F.coalesce(js.get(m, "$.name"), F.lit("-")), js.get(m, "$.nest"), js.get(m, "$.extra")))(js.merge(D(), F.lit('{"name":null,"nest":{"a":1},"extra":true}'))), "p_size || ' - {\"a\":1} true'")
 _q("json_set_path", lambda k, d: _docs(k, d).select("p_partkey", js.get(js.set_path("doc", F.lit("$.nest.deep.price"), F.lit("5")), "$.nest.deep.price").alias("v")), "SELECT p_partkey, '5' AS v FROM part")
-_q("json_mget", lambda k, d: load(k, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_docs(k, d), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", js.get(D, "$.name").alias("v")),
+_q("json_mget", lambda k, d: load(k, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_docs(k, d), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", js.get(D(), "$.name").alias("v")),
    "SELECT l_orderkey, l_linenumber, p_name AS v FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
-_q("json_mset", lambda k, d: _docs(k, d).unionByName(_docs(k, d).where("p_partkey % 2 = 0").withColumn("doc", F.lit('{"size":-1}'))).groupBy("p_partkey").agg(F.min(js.number(D, "$.size")).alias("v")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -1.0 ELSE p_size END::DOUBLE AS v FROM part")
+_q("json_mset", lambda k, d: _docs(k, d).unionByName(_docs(k, d).where("p_partkey % 2 = 0").withColumn("doc", F.lit('{"size":-1}'))).groupBy("p_partkey").agg(F.min(js.number(D(), "$.size")).alias("v")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -1.0 ELSE p_size END::DOUBLE AS v FROM part")
 
 FIELDS = {"text": "text", "lang": "tag", "source": "tag", "n_chars": "numeric", "place": "geo"}
 STOPS = ", ".join(f"'{w}'" for w in ft.STOP_WORDS)

@@ -86,9 +86,9 @@ _q("bit_pos", lambda k, d: bitmaps.first_set(_bits(k, d).where("bit > 9")), f"WI
 _q("bit_pos_clear", lambda k, d: bitmaps.first_clear(_bits(k, d).where("bit % 50 <> 11")), f"WITH {BITS}, r AS (SELECT key, bit, row_number() OVER (PARTITION BY key ORDER BY bit) - 1 AS i FROM b WHERE bit % 50 <> 11) SELECT key, count(*) FILTER (bit = i) AS bit FROM r GROUP BY 1")
 _q("bit_get", lambda k, d: bitmaps.get_bits(_bits(k, d).where("bit % 2 = 0"), k.range(0, 20).select(F.lit("click").alias("key"), F.col("id").alias("bit"))), f"WITH {BITS} SELECT 'click' AS key, range AS bit, (range IN (SELECT bit FROM b WHERE key = 'click' AND bit % 2 = 0))::INTEGER AS value FROM range(20)")
 _q("bit_set", lambda k, d: bitmaps.count(bitmaps.set_bits(_bits(k, d), k.range(490, 600).select(F.lit("click").alias("key"), F.col("id").alias("bit")))), f"WITH {BITS} SELECT key, count(*) AS n FROM (SELECT * FROM b UNION SELECT 'click', range FROM range(490, 600)) GROUP BY 1")
-_NAME = F.col("p_name").cast("binary")
+_NAME = lambda: F.col("p_name").cast("binary")
 _BYTE = lambda i: f"('0x' || substr(hex(encode(p_name)), {2 * i + 1}, 2))::BIGINT"
-_q("bitfield_get", lambda k, d: load(k, d, "part").select("p_partkey", bitmaps.field(_NAME, "u12", 4).alias("a"), bitmaps.field(_NAME, "i7", 3).alias("b")),
+_q("bitfield_get", lambda k, d: load(k, d, "part").select("p_partkey", bitmaps.field(_NAME(), "u12", 4).alias("a"), bitmaps.field(_NAME(), "i7", 3).alias("b")),
    f"SELECT p_partkey, (({_BYTE(0)} & 15) * 256 + {_BYTE(1)})::BIGINT AS a, (CASE WHEN v >= 64 THEN v - 128 ELSE v END)::BIGINT AS b FROM (SELECT *, (({_BYTE(0)} * 256 + {_BYTE(1)}) >> 6) & 127 AS v FROM part)")
 for _how, _t in {"wrap": "(v + 128) % 256 - 128", "sat": "least(v, 127)", "fail": "CASE WHEN v <= 127 THEN v END"}.items():
     _q(f"bitfield_incr_{_how}", lambda k, d, h=_how: load(k, d, "part").select("p_partkey", bitmaps.overflow(F.col("p_size") * 5, "i8", h).alias("v")), f"SELECT p_partkey, ({_t})::BIGINT AS v FROM (SELECT p_partkey, p_size * 5 AS v FROM part)")

@@ -41,9 +41,9 @@ C = f"c AS (SELECT key, ts_ms - ts_ms % {HOUR} AS ts_ms, value, seq FROM e)"
 M = "m AS (SELECT DISTINCT event_type AS key, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' ELSE 'web' END AS kind FROM events)"
 SQL_AGG = {"avg": "avg(value)", "twa": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "count": "count(value)::DOUBLE", "first": "arg_min(value, ts_ms)",
            "last": "arg_max(value, ts_ms)", "range": "max(value) - min(value)", "stdp": "stddev_pop(value)", "stds": "coalesce(stddev_samp(value), 0.0)", "varp": "var_pop(value)", "vars": "coalesce(var_samp(value), 0.0)"}
-_r4 = lambda df, c="value": df.withColumn(c, F.round(c, 4))
+_r4 = lambda df, c="value": df.withColumn(c, F.round(c, 8))
 for _k, _s in SQL_AGG.items():
-    _q(f"ts_range_{_k}", lambda k, d, a=_k: _r4(ts.aggregate(_samples(k, d), 24 * HOUR, a)), f"WITH {E} SELECT key, ts_ms - ts_ms % {24 * HOUR} AS ts_ms, round({_s}, 4) AS value FROM e GROUP BY 1, 2")
+    _q(f"ts_range_{_k}", lambda k, d, a=_k: _r4(ts.aggregate(_samples(k, d), 24 * HOUR, a)), f"WITH {E} SELECT key, ts_ms - ts_ms % {24 * HOUR} AS ts_ms, round({_s}, 8) AS value FROM e GROUP BY 1, 2")
 LOW, HIGH = "(SELECT min(ts_ms) + 1000000000 FROM e)", "(SELECT min(ts_ms) + 5000000000 FROM e)"
 
 
@@ -57,15 +57,15 @@ _q("ts_revrange", lambda k, d: ts.first_per_key(ts.range_(_samples(k, d), *_boun
    f"WITH {E}, r AS (SELECT key, ts_ms, value, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC) AS i FROM e WHERE ts_ms BETWEEN {LOW} AND {HIGH}) SELECT key, ts_ms, value FROM r WHERE i <= 5")
 _q("ts_get", lambda k, d: ts.latest(_samples(k, d)), f"WITH {E} SELECT key, max(ts_ms) AS ts_ms, arg_max(value, ts_ms) AS value FROM e GROUP BY 1")
 _q("ts_mget", lambda k, d: ts.latest(ts.of_matching(_samples(k, d), _meta(k, d), {"kind": "money"})), f"WITH {E}, {M} SELECT key, max(ts_ms) AS ts_ms, arg_max(value, ts_ms) AS value FROM e SEMI JOIN (SELECT * FROM m WHERE kind = 'money') USING (key) GROUP BY 1")
-_q("ts_mrange", lambda k, d: _r4(ts.aggregate(ts.of_matching(_samples(k, d), _meta(k, d), {"kind": "web"}), HOUR, "max")), f"WITH {E}, {M} SELECT key, ts_ms - ts_ms % {HOUR} AS ts_ms, round(max(value), 4) AS value FROM e SEMI JOIN (SELECT * FROM m WHERE kind = 'web') USING (key) GROUP BY 1, 2")
+_q("ts_mrange", lambda k, d: _r4(ts.aggregate(ts.of_matching(_samples(k, d), _meta(k, d), {"kind": "web"}), HOUR, "max")), f"WITH {E}, {M} SELECT key, ts_ms - ts_ms % {HOUR} AS ts_ms, round(max(value), 8) AS value FROM e SEMI JOIN (SELECT * FROM m WHERE kind = 'web') USING (key) GROUP BY 1, 2")
 _q("ts_mrevrange", lambda k, d: ts.first_per_key(ts.of_matching(_samples(k, d), _meta(k, d), {"kind": "web"}), 3, True), f"WITH {E}, {M}, r AS (SELECT key, ts_ms, value, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC) AS i FROM e SEMI JOIN (SELECT * FROM m WHERE kind = 'web') USING (key)) SELECT key, ts_ms, value FROM r WHERE i <= 3")
 _q("ts_queryindex", lambda k, d: ts.matching(_meta(k, d), {"kind": "money", "type": "purchase"}), f"WITH {M} SELECT key FROM m WHERE kind = 'money' AND key = 'purchase'")
-for _p, _s in (("first", "arg_min(value, seq)"), ("last", "arg_max(value, seq)"), ("min", "min(value)"), ("max", "max(value)"), ("sum", "round(sum(value), 4)")):
+for _p, _s in (("first", "arg_min(value, seq)"), ("last", "arg_max(value, seq)"), ("min", "min(value)"), ("max", "max(value)"), ("sum", "round(sum(value), 8)")):
     _q(f"ts_dup_{_p}", lambda k, d, p=_p: _r4(ts.resolve(_coarse(k, d), p)) if p == "sum" else ts.resolve(_coarse(k, d), p), f"WITH {E}, {C} SELECT key, ts_ms, {_s} AS value FROM c GROUP BY 1, 2")
 _q("ts_del", lambda k, d: ts.info(ts.delete(_samples(k, d), *_bounds(k, d))), f"WITH {E} SELECT key, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM e WHERE NOT ts_ms BETWEEN {LOW} AND {HIGH} GROUP BY 1")
 _q("ts_retention", lambda k, d: ts.retain(_samples(k, d), 72 * HOUR), f"WITH {E}, t AS (SELECT key, max(ts_ms) - {72 * HOUR} AS cut FROM e GROUP BY 1) SELECT e.key, ts_ms, value FROM e JOIN t USING (key) WHERE ts_ms >= cut")
 _q("ts_info", lambda k, d: ts.info(_samples(k, d)), f"WITH {E} SELECT key, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM e GROUP BY 1")
-_q("ts_incrby", lambda k, d: _r4(ts.increment(_samples(k, d))), f"WITH {E} SELECT key, ts_ms, round(sum(value) OVER (PARTITION BY key ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 4) AS value FROM e")
+_q("ts_incrby", lambda k, d: _r4(ts.increment(_samples(k, d))), f"WITH {E} SELECT key, ts_ms, round(sum(value) OVER (PARTITION BY key ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 8) AS value FROM e")
 _q("ts_madd", lambda k, d: ts.info(_samples(k, d).unionByName(_samples(k, d).withColumn("ts_ms", F.col("ts_ms") + 1))), f"WITH {E} SELECT key, 2 * count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) + 1 AS last_ms FROM e GROUP BY 1")
 
 
@@ -77,8 +77,8 @@ def _rollup(k, d):
 _q("ts_rollup", _rollup, f"WITH {E} SELECT key, ts_ms - ts_ms % {6 * HOUR} AS ts_ms, round(avg(value), 7) AS avg, max(value) AS max, count(*)::DOUBLE AS count FROM e GROUP BY 1, 2")
 _q("ts_time_weighted", lambda k, d: _r4(ts.time_weighted(_samples(k, d), 24 * HOUR)),
    f"""WITH {E}, b AS (SELECT *, ts_ms - ts_ms % {24 * HOUR} AS b, lead(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms) AS nx FROM e), w AS (SELECT *, (least(coalesce(nx, b + {24 * HOUR}), b + {24 * HOUR}) - ts_ms)::DOUBLE AS dt FROM b)
-   SELECT key, b AS ts_ms, round(sum(value * dt) / sum(dt), 4) AS value FROM w GROUP BY 1, 2""")
-_q("ts_reduce_groups", lambda k, d: _r4(ts.reduce_groups(_samples(k, d), _meta(k, d), "kind", 24 * HOUR, "sum")), f'WITH {E}, {M} SELECT kind AS "group", ts_ms - ts_ms % {24 * HOUR} AS ts_ms, round(sum(value), 4) AS value FROM e JOIN m USING (key) GROUP BY 1, 2')
+   SELECT key, b AS ts_ms, round(sum(value * dt) / sum(dt), 8) AS value FROM w GROUP BY 1, 2""")
+_q("ts_reduce_groups", lambda k, d: _r4(ts.reduce_groups(_samples(k, d), _meta(k, d), "kind", 24 * HOUR, "sum")), f'WITH {E}, {M} SELECT kind AS "group", ts_ms - ts_ms % {24 * HOUR} AS ts_ms, round(sum(value), 8) AS value FROM e JOIN m USING (key) GROUP BY 1, 2')
 
 
 def _stream(k, d):
