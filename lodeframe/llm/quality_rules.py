@@ -121,8 +121,9 @@ c AS (SELECT doc_id, ws, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         len(list_filter(ws, lambda x: x IN ({stops})))::BIGINT AS n_stop FROM w),
-e AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS i, ws FROM c WHERE n_words >= 3),
-f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM e),
+u AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM c),
+e AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM e WHERE c IS NOT NULL),
 g AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE f.n > 1 GROUP BY 1),
 h AS (SELECT c.*, coalesce(g.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN g USING (doc_id)),
 j AS (SELECT *, list_filter([{fails}], lambda x: x IS NOT NULL) AS fr,
