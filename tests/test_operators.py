@@ -232,3 +232,25 @@ def test_hash_updates(spark):
     assert rows(hashes.increment(h, d), "field", "value") == [("f", 6), ("g", 2), ("new", 7)]
     assert rows(hashes.set_if_absent(h, d), "field", "value") == [("f", "1"), ("g", "2"), ("new", "7")]
     assert hashes.get_all(h).first().fields == {"f": "1", "g": "2"}
+
+
+def test_indexes(spark):
+    from lodeframe.operators.indexes import Indexes
+
+    spark.createDataFrame([(1, "red fox", "a"), (2, "green frog", "b"), (3, "crimson fix", None)], "id int, body string, kind string").createOrReplaceTempView("things")
+    ix = Indexes(spark)
+    ix.create("i", "things", {"body": "text"})
+    ix.alter("i", "kind", "tag")
+    ix.alias("j", "i")
+    assert rows(ix.search("j", "fox|frog @kind:{a|b}"), "id") == [1, 2] and ix.names() == ["i"]
+    ix.synonyms("i", "g", "red", "crimson")
+    assert rows(ix.search("i", "red"), "id") == [1, 3]
+    assert rows(ix.info("i"), "field", "rows") == [("body", 3), ("kind", 2)]
+    assert ix.add_words("d", "fix", "x") == 2 and ix.delete_words("d", "x") == 1 and ix.words("d") == ["fix"]
+    assert rows(ix.spellcheck("i", "body", "fax"), "term") == ["fix", "fox"] and rows(ix.spellcheck("i", "body", "fox", 1, "d"), "term") == []
+    assert ix.aggregate("i", "*", ["kind"], [("count", None, "n")]).count() == 3 and "Filter" in ix.explain("i", "fox")
+    with pytest.raises(ValueError):
+        ix.alter("i", "BODY", "text")
+    ix.drop("i")
+    with pytest.raises(KeyError):
+        ix.search("j", "fox")
