@@ -34,6 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lodeframe.llm.common import written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a chunk of text whose anchors are found at once, and bytes of suffixes in a run.
@@ -255,7 +258,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(rid[row].astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(h)], ["rid", "place", "h"])
 
     found = docs.select("rid", "text").mapInArrow(find, "rid long, place int, h long")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that both sides of the join are plain exchanges, whose large partitions AQE can split.
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-grams")
     places = found.join(often, "h", "left_semi").groupBy("rid").agg(F.collect_set("place").alias("places"))
     at_text, at_places = more.index("text"), len(more)
 
@@ -373,8 +377,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(3)], ["text", "_more"])
 
     more = own.schema["_more"].dataType
-    from pyspark.sql.types import StringType, StructField, StructType
-
     done = repeat_spans(own, length, gram).mapInArrow(run, StructType([StructField("text", StringType()), StructField("_more", more)]))
     return done.select(*[F.col("text").alias(text) if c == text else F.col(f"_more.`{c}`").alias(c) for c in docs.columns])
 
