@@ -12,7 +12,8 @@
 5. Components come from alternating star contraction on DataFrames, each round written to the shared folder.
 
 Defined cases: texts without words have fingerprint 0 and link like any other; null texts count as empty; rows
-that repeat an id share its component; a null id takes part, but never names a component.
+that repeat an id share its component. Fingerprints that only rows without an id have link to none; such rows have a null
+component unless another row with an id has the same fingerprint.
 """
 
 from __future__ import annotations
