@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
             found = _counts(b.column(0).to_pylist(), index)
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64())), b.column(1)], ["k", "n", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "k array<long>, n array<long>, toxic int").orderBy("toxic", "k", "n").collect()
+    got = rows.select("text", "toxic").mapInArrow(run, "k array<long>, n array<long>, toxic int").collect()
+    got.sort(key=lambda r: (r.toxic, r.k, r.n))
     counts = [dict(zip(r.k, r.n, strict=True)) for r in got]
     grade = lambda c: 1 + (sum(c.get(k, 0) for k in marks) > 2) + (sum(c.get(k, 0) for k in marks) > 5)
     grades = np.array([grade(c) if r.toxic else 0 for c, r in zip(counts, got, strict=True)])
