@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ class WordTokenizer:
     model itself; all others go through the tokenizer's whole chain.
     """
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         import regex
@@ -45,22 +46,32 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the cache before, of which what is used again is taken over
+        self.words: dict[str, bytes] = {}  # of parts, which pieces with other signs around them share
         # Parts of a word as the vocabulary's own file splits them; and the bytes' printable forms.
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self.shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+        self.shown = "".join(chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256))
+        self.tokenize = self.tok.model.tokenize
         # The short way is for ASCII and Latin letters whose composed lower case is one code point.
         self.easy = regex.compile(r"[!-~¡-¬®-įı-ſ]*").fullmatch
 
     def piece(self, s: str) -> bytes:
-        if self.easy(s) and "<|" not in s:
-            ids: list[int] = []
-            for part in self.parts(s.lower()):
-                ids += [t.id for t in self.tok.model.tokenize(part.encode().decode("latin1").translate(self.shown))]
-        else:
-            ids = self.tok.encode(s, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        if "<|" in s or not (s.isascii() and s.isprintable() or self.easy(s)):
+            return array("I", self.tok.encode(s, add_special_tokens=False).ids).tobytes()
+        s = s.lower()
+        if s.isalpha():
+            return self.part(s)
+        return b"".join(map(self.part, self.parts(s)))
+
+    def part(self, s: str) -> bytes:
+        if (found := self.words.get(s)) is None:
+            if len(self.words) > self.LIMIT:
+                self.words.clear()
+            shown = s if s.isascii() else charmap_decode(s.encode(), "strict", self.shown)[0]
+            found = self.words[s] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return found
 
     def __call__(self, text: bytes) -> bytes:
         pieces, cache = text.split(), self.cache  # bytes split at ASCII white space alone; other kinds stay inside pieces
@@ -68,10 +79,12 @@ class WordTokenizer:
             return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
             if len(cache) > self.LIMIT:
-                cache.clear()
+                self.old, self.cache = cache, {}
+                cache = self.cache
+            old = self.old
             for s in set(pieces):
                 if s not in cache:
-                    cache[s] = self.piece(s.decode())
+                    cache[s] = old[s] if s in old else self.piece(s.decode())
             return b"".join(map(cache.__getitem__, pieces))
 
 
