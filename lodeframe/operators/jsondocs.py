@@ -125,7 +125,7 @@ def array_pop(doc: Column, path: str, i: int = -1) -> tuple[Column, Column]:
     n = F.size(a)
     at = F.least(F.greatest(F.lit(i) if i >= 0 else n + i, F.lit(0)), n - 1)
     left = F.concat(F.slice(a, F.lit(1), F.greatest(at, F.lit(0))), F.slice(a, at + 2, F.greatest(n - at - 1, F.lit(0))))
-    return F.to_json(F.try_element_at(a, (at + 1).cast("int"))), F.to_json(F.when(n > 0, left).otherwise(a))
+    return F.to_json(F.when(n > 0, F.try_element_at(a, F.greatest(at + 1, F.lit(1)).cast("int")))), F.to_json(F.when(n > 0, left).otherwise(a))
 
 
 def array_trim(doc: Column, path: str, start: int, stop: int) -> Column:

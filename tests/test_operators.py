@@ -163,7 +163,7 @@ def test_filters(spark):
 
 
 def test_vectors(spark):
-    v = spark.createDataFrame([("item:1", [1.0, 0, 0, 0], None), ("item:2", [0.99, 0.01, 0, 0], None), ("item:3", [0.1, 1, -1, 0.5], None), ("zero", [0.0] * 4, None)], "element string, embedding array<float>, attrs string")
+    v = spark.createDataFrame([("item:1", [1.0, 0.0, 0.0, 0.0], None), ("item:2", [0.99, 0.01, 0.0, 0.0], None), ("item:3", [0.1, 1.0, -1.0, 0.5], None), ("zero", [0.0] * 4, None)], "element string, embedding array<float>, attrs string")
     s = {r.element: r.score for r in vectors.similar(v, [1, 0, 0, 0]).collect()}
     assert s["item:1"] > 0.99 and s["item:2"] > 0.99 and s["item:3"] < 0.8 and s["zero"] == 0.5
     assert [len(r[0]) for r in v.select(vectors.reduce_dimension(F.col("embedding"), 2, 4)).collect()] == [2] * 4
