@@ -1,0 +1,147 @@
+"""Near copies by the Jaccard similarity of word shingles, exactly: every pair of `SIMILAR` or more is linked.
+
+No radius of fingerprints finds all such pairs, so the pairs come from a prefix filter:
+
+1. Texts of the same words are one node; only one text of each goes on.
+2. Two sets of sizes n and m as similar as that share at least 4/5 of n. So of the shingles of a text, put in order of
+   how many texts hold them, some of the first n - ceil(4n/5) + 1 is also among the first ones of the other text.
+   Shingles that only one text holds come first and pair with nothing: most texts end here.
+3. Texts with one such shingle are a bucket. Of buckets with the same texts one is enough.
+4. Within a bucket a search takes the texts it finds out, so that it gives spanning links, never all pairs. Each
+   link is checked with the whole sets.
+
+Defined cases: a text of at most `SHINGLE` words is one shingle; null texts count as empty, and all empty ones are
+copies. Rows without an id stay, as nothing tells them apart; of rows that repeat an id one stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodeframe.llm.common import sliced, written
+from lodeframe.llm.simhash import SEED, components
+
+#: Linked from a Jaccard similarity of 4/5 on, here as whole numbers.
+SHINGLE, SIMILAR = 5, (4, 5)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes (signed) of a text's shingles; one at least."""
+    import xxhash
+
+    ws = text.lower().split()
+    hashed, line = xxhash.xxh64_intdigest, b" ".join(ws)
+    if len(ws) <= size:
+        return np.array([hashed(line, SEED)], np.uint64).view(np.int64)
+    ends = np.cumsum([len(w) + 1 for w in ws]) - 1
+    starts = [0, *(ends[: len(ws) - size] + 1).tolist()]
+    return np.unique(np.array([hashed(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
+
+
+def spanning(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(id, smallest id of its component) for the components of one bucket, without the smallest itself."""
+    p, q = SIMILAR
+    sizes, live, out = np.array([len(s) for s in sets]), np.arange(len(ids)), []
+    while len(live):
+        group, live, k = [live[0]], live[1:], 0
+        while k < len(group) and len(live):
+            x = sets[group[k]]
+            near = live[(q * np.minimum(sizes[live], len(x)) >= p * np.maximum(sizes[live], len(x)))]
+            if len(near):
+                every = np.concatenate([sets[i] for i in near])
+                hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+                found = near[(p + q) * common >= p * (sizes[near] + len(x))]
+                group += found.tolist()
+                live = np.setdiff1d(live, found, assume_unique=True)
+            k += 1
+        low = min(ids[g] for g in group)
+        out += [(ids[g], low) for g in group if ids[g] != low]
+    return out
+
+
+def _same_words(docs: DataFrame) -> DataFrame:
+    """docs (id, text binary) -> (id, words: hash of the text's words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            h = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), SEED) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64))], ["id", "words"])
+
+    return docs.mapInArrow(run, "id long, words long")
+
+
+def _shingle_rows(docs: DataFrame) -> DataFrame:
+    """docs (id, text binary) -> a row (id, n, h) for each of the n shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingles(t or b"") for t in b.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["id", "n", "h"])
+
+    return docs.mapInArrow(run, "id long, n long, h long")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """docs (id, text binary) -> (id, hs: the whole set as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hs"])
+
+    return docs.mapInArrow(run, "id long, hs binary")
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """Spanning links (a, b), a > b, of texts (id, text binary) with distinct ids."""
+    p, q = SIMILAR
+    rows = _shingle_rows(texts).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    of = Window.partitionBy("id")
+    first = rows.withColumn("m", F.count("*").over(of)).withColumn("r", F.row_number().over(of.orderBy("df", "h")))
+    first = written(first.where(f"r <= m - (n * {p} + {q} - 1) div {q} + 1").select("id", "h"), "near-prefixes")
+    buckets = first.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.col("id").cast("decimal(38,0)")).alias("s"))
+    buckets = buckets.where("n > 1").groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
+    members = written(first.join(buckets, "h"), "near-buckets")
+    sets = _sets(texts.join(members.select("id").distinct(), "id", "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, own = None, [], []
+
+        def out(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            a = np.array(rows, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+        for b in batches:
+            found = []
+            for h, i, s in zip(*[b.column(k) for k in range(3)], strict=True):
+                if h.as_py() != at:
+                    found += spanning(ids, own)
+                    at, ids, own = h.as_py(), [], []
+                ids.append(i.as_py())
+                own.append(np.frombuffer(s.as_py(), np.int64))
+            yield out(found)
+        yield out(spanning(ids, own))
+
+    joined = members.join(sets, "id").select("h", "id", "hs")
+    return joined.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, ...) whose id is the smallest of their component, and those without an id."""
+    none, some = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    if not some.groupBy("doc_id").count().where("count > 1").isEmpty():
+        some = written(some.dropDuplicates(["doc_id"]), "near-ids")
+    texts = some.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    nodes = written(_same_words(texts).groupBy("words").agg(F.min("id").alias("id")).select("id"), "near-nodes")
+    roots = components(links(texts.join(nodes, "id", "left_semi")), "near-links")
+    keep = nodes.join(roots.select(F.col("a").alias("id")), "id", "left_anti").select(F.col("id").alias("_keep"))
+    return some.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(none)
