@@ -6,8 +6,10 @@ bitset subset-sum dynamic program picks the multiset that fills a window closest
 each length are found by walking the stored bitsets backwards. A window that no subset fills exactly is topped
 up by cutting one document. What is left at a task's end is cut at powers of two, which need no padding.
 
-Defined cases: a null or empty text has only the end token. Repeated rows are packed each on its own. An empty
-table gives no rows. A retried task gets the same rows in the same order and so packs alike.
+Defined cases: a null or empty text has only the end token. Repeated rows are packed each on its own, and rows with a
+null id with that. A very long text is read whole and fills windows of its own. Bytes that are not UTF-8 count as
+replacement characters. Extra columns are not read. An empty table gives no rows. A retried task gets the same rows in
+the same order and so packs alike.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.common import sliced
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -35,10 +39,13 @@ class WordTokenizer:
 
     The vocabulary splits texts at white space before anything else and drops it, so a text's ids are those of
     its white-space pieces in order. Within a piece, parts without upper-case or special letters go to the
-    model itself; all others go through the tokenizer's whole chain.
+    model itself; all others go through the tokenizer's whole chain. Caches are bounded by bytes, and pieces over
+    `LONG` bytes (text without blanks, encoded data) are not kept at all.
     """
 
-    LIMIT = 500_000
+    LIMIT, LONG = 20 << 20, 64
+    #: What an entry takes besides its bytes: two objects and a place in the dictionary.
+    ENTRY = 180
 
     def __init__(self, path: str):
         import regex
@@ -48,6 +55,7 @@ class WordTokenizer:
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # the cache before, of which what is used again is taken over
         self.words: dict[str, bytes] = {}  # of parts, which pieces with other signs around them share
+        self.held = self.held_words = 0  # bytes of cache and of words
         # Parts of a word as the vocabulary's own file splits them; and the bytes' printable forms.
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,10 +75,14 @@ class WordTokenizer:
 
     def part(self, s: str) -> bytes:
         if (found := self.words.get(s)) is None:
-            if len(self.words) > self.LIMIT:
-                self.words.clear()
             shown = s if s.isascii() else charmap_decode(s.encode(), "strict", self.shown)[0]
-            found = self.words[s] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+            found = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+            if len(s) <= self.LONG:
+                if self.held_words > self.LIMIT:
+                    self.words.clear()
+                    self.held_words = 0
+                self.words[s] = found
+                self.held_words += len(s) + len(found) + self.ENTRY
         return found
 
     def __call__(self, text: bytes) -> bytes:
@@ -78,15 +90,28 @@ class WordTokenizer:
         try:
             return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
-            if len(cache) > self.LIMIT:
-                self.old, self.cache = cache, {}
+            if self.held > self.LIMIT:
+                self.old, self.cache, self.held = cache, {}, 0
                 cache = self.cache
-            old = self.old
+            old, own = self.old, {}
             for s in set(pieces):
                 if s not in cache:
-                    cache[s] = old[s] if s in old else self.piece(s.decode())
+                    if s in old:
+                        ids = old[s]
+                    else:
+                        ids = self.piece(s.decode("utf-8", "replace"))
+                    if len(s) <= self.LONG and self.held <= self.LIMIT:
+                        cache[s] = ids
+                        self.held += len(s) + len(ids) + self.ENTRY
+                    else:
+                        own[s] = ids
+            if own:
+                return b"".join([own[s] if s in own else cache[s] for s in pieces])
             return b"".join(map(cache.__getitem__, pieces))
 
+    def clear(self) -> None:
+        self.cache, self.old, self.words, self.held, self.held_words = {}, {}, {}, 0, 0
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -192,7 +217,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         tok, end = tokenizer(tokenizer_path), array("I", [end_id]).tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         held = 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = tok(t or b"") + end
                 packer.add(doc, data)
@@ -202,6 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                     held = 0
                     yield packer.take()
         packer.pack(True)
+        tok.clear()  # workers are used again, by other operators too
         yield packer.take()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, SCHEMA)

@@ -6,18 +6,26 @@
    node is keyed by every choice of m - radius blocks; all links therefore lie within buckets of equal keys. m
    grows with the number of nodes, so that buckets stay small.
 4. Each bucket is a shard with a BK-tree: children keyed by their Hamming distance to the parent, and only edges
-   within the radius are followed. A search takes what it finds out of the tree, so a bucket gives the spanning
-   stars of its components, never all pairs. The trees are built where their bucket is, not broadcast, as
-   nothing bounds their size.
+   within the radius are followed. A search takes what it finds out of the tree, so a bucket gives spanning links,
+   never all pairs. The trees are built where their bucket is, not broadcast, as nothing bounds their size. (One
+   tree over all fingerprints does not carry the search: at radius 4 a search of 100,000 spread fingerprints enters
+   two thirds of them, so the work would grow with the square of the table.)
 5. Components come from alternating star contraction on DataFrames, each round written to the shared folder.
 
-Defined cases: texts without words have fingerprint 0 and link like any other; null texts count as empty; rows
-that repeat an id share its component. Fingerprints that only rows without an id have link to none; such rows have a null
-component unless another row with an id has the same fingerprint.
+`dedup` is the form for pipelines: near copies are texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more. Links of fingerprints are candidates there, checked with the whole sets; as no radius that can be searched
+holds all such pairs, `overlap` adds the rest, exactly, among texts that fingerprints have not linked already.
+
+Defined cases: texts without words have fingerprint 0 and link like any other; null texts count as empty; very long
+texts are read whole, their hashes counted in parts; rows that repeat an id share its component in `simhash_groups`, and
+are judged each by its own text in `dedup`; ties go to the smallest id. Fingerprints that only rows without an id have
+link to none; such rows have a null component unless another row with an id has the same fingerprint. Empty tables give
+no rows; extra columns are not read, and `dedup` returns them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import written
+from lodeframe.llm import overlap
+from lodeframe.llm.common import SPACE, discard, hinted, sliced, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Of `dedup`: words of a shingle, and the least Jaccard similarity as two whole numbers.
+WORDS, SIMILAR = 5, (4, 5)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -43,7 +54,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return hashed(line, SEED)
     ends = np.cumsum([len(w) + 1 for w in ws]) - 1
     starts = [0, *(ends[: len(ws) - shingle] + 1).tolist()]
-    h = np.array([hashed(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+    return majority(np.array([hashed(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
         ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -54,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -99,18 +114,18 @@ class BKTree:
         return found
 
 
-def stars(values: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its component) for the components of one bucket, without the smallest itself."""
+def spanning(values: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
+    """Pairs (larger id, smaller id) within the radius that join the components of one bucket."""
     tree, out = BKTree(values), []
     for i in range(len(values)):
         if tree.there[i]:
             tree.drop(i)
             group, k = [i], 0
             while k < len(group):
-                group += tree.take(values[group[k]], radius)
+                found = tree.take(values[group[k]], radius)
+                out += [(max(ids[g], ids[group[k]]), min(ids[g], ids[group[k]])) for g in found]
+                group += found
                 k += 1
-            low = min(ids[g] for g in group)
-            out += [(ids[g], low) for g in group if ids[g] != low]
     return out
 
 
@@ -132,30 +147,28 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = nodes.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(x))) for x in masks])).alias("k", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[tuple] = []  # what there is of the bucket that may go on
 
-        def bucket(t) -> list[tuple[int, int]]:
-            return stars([x & 0xFFFFFFFFFFFFFFFF for x in t[0].tolist()], t[1].tolist(), radius)
-
-        def out(rows) -> pa.RecordBatch:
-            a = np.array(rows, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+        def bucket() -> list[tuple[int, int]]:
+            fps, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held.clear()
+            return spanning(fps.view(np.uint64).tolist(), ids.tolist(), radius) if len(ids) > 1 else []
 
+        last = None
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            fp, ident, k, key = cols
-            edge = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = [0, *edge.tolist()]
-            rows = []
+            fp, ident, k, key = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(k):
+                continue
+            rows = bucket() if held and last != (k[0], key[0]) else []
+            edges = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(k)]
             for i, j in zip(edges, edges[1:], strict=False):
-                if j - i > 1:
-                    rows += bucket((fp[i:j], ident[i:j]))
-            held = [x[edges[-1] :] for x in cols]
-            yield out(rows)
-        if held is not None and len(held[0]) > 1:
-            yield out(bucket(held))
+                held.append((fp[i:j], ident[i:j]))
+                if j < len(k):
+                    rows += bucket()
+            last = k[-1], key[-1]
+            yield overlap.pairs(rows)
+        if held:
+            yield overlap.pairs(bucket())
 
     found = keyed.repartition("k", "key").sortWithinPartitions("k", "key", "id").mapInArrow(run, "a long, b long")
     return found.distinct()
@@ -174,7 +187,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        edges = written(small.where("a <> b").distinct(), name)
+        after = written(small.where("a <> b").distinct(), name)
+        discard(edges)
+        edges = after
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,18 +201,67 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
     return fps.join(of_fp.select("fp", F.coalesce("root", "id").alias("component_id")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", **more) -> DataFrame:
-    """The documents whose id is the smallest of their component; of rows that repeat that id, one.
+def prints(texts: DataFrame, size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """texts (id, text binary) -> (id, words: hash of the text's words, fp, n: how many shingles, prefix: the first ones
+    in the order of their hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 1):
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            sets = [overlap.shingles(t, size) for t in texts]
+            words = [hashlib.md5(b" ".join(t.lower().split())).digest() for t in texts]
+            fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            prefix = [s[: overlap.first_ones(len(s), similar)].view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(words, pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "words", "fp", "n", "prefix"])
+
+    return texts.mapInArrow(run, "id long, words binary, fp long, n int, prefix array<long>")
+
+
+def near_links(nodes: DataFrame, fetch: overlap.Fetch, size: int = WORDS, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(a, b): near copies among nodes (node, fp, n, prefix), each but the smallest of its component with that one."""
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("id")), "near-prints")
+    same = nodes.select("node", "fp").join(fps, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    found = written(links(fps, radius).union(same), "near-candidates")
+    near = written(overlap.checked(found, fetch, size, similar), "near-checked")
+    return components(near.union(overlap.links(fetch, components(near, "near-known"), nodes, size, similar)), "near-links")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies; all columns stay.
 
-    Rows without an id stay, as nothing tells them apart.
+    Rows without an id stay, as nothing tells them apart. Rows that repeat an id are judged each by its own text.
     """
-    found = simhash_groups(docs, doc_id=doc_id, **more)
-    keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")).distinct()
-    repeats = not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    none, some = docs.where(F.col(doc_id).isNull()), docs.where(F.col(doc_id).isNotNull())
+    plain = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.unhex(F.md5(F.btrim(F.regexp_replace(plain, SPACE, F.lit(" "))).cast("binary")))
+    seen = written(prints(some.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))), "near-seen")
+    repeats = not seen.groupBy("id").count().where("count > 1").isEmpty()
+    key = ["id", "words"] if repeats else ["id"]
     if repeats:
-        none, some = docs.where(F.col(doc_id).isNull()), docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        docs = some.unionByName(none)
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi")
+        seen = written(seen.dropDuplicates(key), "near-seen")
+    # Texts of the same words are one node, whose number is settled once the table is written.
+    nodes = written(seen.groupBy("words").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+
+    def rows() -> DataFrame:
+        own = some.select(F.col(doc_id).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+        if not repeats:
+            return own
+        return some.select(F.col(doc_id).cast("long").alias("id"), words.alias("words"), F.struct(*docs.columns).alias("row")).dropDuplicates(key)
+
+    def fetch(of: DataFrame) -> DataFrame:
+        own = written(nodes.join(hinted(of), "node"), "near-wanted")
+        return rows().join(hinted(own), key).select("node", F.col(f"row.`{text}`").cast("binary").alias("text"))
+
+    own = written(seen.join(hinted(nodes), ["words", "id"]).select("node", "fp", "n", "prefix"), "near-own")
+    gone = near_links(own, fetch, **more)
+    groups = gone.unionByName(gone.select(F.col("b").alias("a"), "b").distinct()).join(nodes.select(F.col("node").alias("a"), "id"), "a")
+    first = groups.groupBy("b").agg(F.min_by("a", F.struct("id", "a")).alias("a"))
+    lost = nodes.join(groups.join(first, ["b", "a"], "left_anti").select(F.col("a").alias("node")), "node", "left_semi").select("words", "id")
+    # Rows that go: those of such nodes, and copies of words that another id stands for.
+    copies = seen.select("words", "id").join(nodes.select("words", "id"), ["words", "id"], "left_anti")
+    out = rows().join(hinted(written(lost.union(copies).select(*key), "near-lost")), key, "left_anti")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(none)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

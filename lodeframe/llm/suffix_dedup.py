@@ -19,7 +19,8 @@ The result is exact: hashes only choose what is compared. Texts are shuffled onc
 for the last step.
 
 Defined cases: null texts count as empty; texts under `length` bytes keep all; a row that is repeated is found
-elsewhere (its copy) and so loses all its windows; extra columns are not read unless asked for.
+elsewhere (its copy) and so loses all its windows, as does one that repeats or lacks an id; very long texts are read in
+chunks of `CHUNK` bytes; extra columns are not read, and `without_repeats` returns them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodeframe.llm.common import written
+from lodeframe.llm.common import sliced, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a chunk of text whose anchors are found at once, and bytes of suffixes in a run.
-CHUNK, RUN = 1 << 20, 24 << 20
+CHUNK, RUN = 1 << 20, 16 << 20
+#: Suffixes of a block, the unit in which a run is read, and bytes of suffixes that one merge is to have at most.
+ENTRIES, PART = 512, 96 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -134,14 +137,25 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def front_coded(entries: dict[tuple[bytes, bytes], list], gram: int) -> bytes:
-    """A sorted run: each suffix as (bytes shared with the one before, the rest, the bytes to the left, places)."""
-    out, last = [], b""
+def front_coded(entries: dict[tuple[bytes, bytes], list]) -> bytes:
+    """A sorted run, in blocks: each suffix as (bytes shared with the one before, the rest, the bytes to the left, places)."""
+    blocks, out, last = [], [], b""
     for fwd, bwd in sorted(entries):
         n = shared(last, fwd)
         out.append((n, fwd[n:], bwd, entries[fwd, bwd]))
         last = fwd
-    return zlib.compress(pickle.dumps(out, 5), 1)
+        if len(out) == ENTRIES:
+            blocks.append(zlib.compress(pickle.dumps(out, 5), 1))
+            out = []
+    if out:
+        blocks.append(zlib.compress(pickle.dumps(out, 5), 1))
+    return pickle.dumps(blocks, 5)
+
+
+def entries_of(run: bytes) -> Iterator[tuple]:
+    """The entries of a run; one block is unpacked at a time."""
+    for block in pickle.loads(run):
+        yield from pickle.loads(zlib.decompress(block))
 
 
 def merged(runs: list[bytes]) -> Iterator[tuple[int, bytes, bytes, list]]:
@@ -151,7 +165,7 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, bytes, bytes, list]]:
     more comes first, and what they share is the lesser of both; only when they share equally are bytes read,
     from there on. A run's next head shares with it what the front coding says.
     """
-    lists = [iter(pickle.loads(zlib.decompress(r))) for r in runs]
+    lists = [entries_of(r) for r in runs]
     k = 1
     while k < len(lists):
         k *= 2
@@ -248,19 +262,21 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     rid stands for a row's content: rows that share it must be equal.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = docs.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             rid = b.column(0).to_numpy(zero_copy_only=False)
             row, place, h = anchor_rows(b.column(1).to_pylist(), length, gram)
             yield pa.RecordBatch.from_arrays([pa.array(rid[row].astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(h)], ["rid", "place", "h"])
 
     found = docs.select("rid", "text").mapInArrow(find, "rid long, place int, h long")
     # Written, so that both sides of the join are plain exchanges, whose large partitions AQE can split.
-    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-grams")
-    places = found.join(often, "h", "left_semi").groupBy("rid").agg(F.collect_set("place").alias("places"))
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    # As many merges as the followed suffixes need, at least those that the session asks for.
+    followed = often.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-followed * 2 * length // PART))
+    places = found.join(often.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set("place").alias("places"))
     at_text, at_places = more.index("text"), len(more)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,11 +284,11 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         size = 0
 
         def out() -> pa.RecordBatch:
-            made = [(p, front_coded(e, gram)) for p, e in runs.items()]
+            made = [(p, front_coded(e)) for p, e in runs.items()]
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([r for _, r in made], pa.binary())], ["part", "run"])
 
-        for b in batches:
+        for b in sliced(batches, at_text):
             for rid, text, at in zip(b.column(0).to_pylist(), b.column(at_text).to_pylist(), b.column(at_places).to_pylist(), strict=True):
                 for p in at:
                     fwd, bwd = text[p : p + length], text[max(0, p - length + gram) : p][::-1]
@@ -316,7 +332,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     # The same exchange of texts serves here and below: both joins hash by rid and read the same columns.
     runs = docs.join(places.hint("shuffle_hash"), "rid").select(*more, "places").mapInArrow(sort, "part int, run binary")
-    marks = runs.repartition("part").mapInArrow(merge, "rid long, a long, b long")
+    marks = runs.repartitionById(parts, F.col("part")).mapInArrow(merge, "rid long, a long, b long")
     spans = marks.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), "rid", "left").select(*more, "spans")
 
@@ -340,9 +356,13 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _with_rid(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).alias("doc_id"), t.alias("text"))
+def _rid(docs: DataFrame, doc_id: str) -> Column:
+    """The id where it is a whole number that no two rows share, else a hash of the whole row."""
+    if doc_id in docs.columns and docs.schema[doc_id].dataType.simpleString() in ("int", "bigint"):
+        own = docs.select(F.col(doc_id).alias("id"))
+        if own.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
+            return F.col(doc_id).cast("long")
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +370,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        for b in batches:
+        for b in sliced(batches, 2):
             rows = []
             for t, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 s = _union([(x["a"], x["b"]) for x in spans or ()])
@@ -359,18 +379,19 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.list_(pa.int64())))], names)
 
-    return repeat_spans(_with_rid(docs, doc_id, text), length, gram).mapInArrow(
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(_rid(docs, "doc_id").alias("rid"), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return repeat_spans(own, length, gram).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, same columns, with doubled bytes gone from their texts; halves of a character that was cut go too."""
     names = [c for c in docs.columns if c != text]
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    own = docs.select(key.alias("rid"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.col(text).isNull().alias("_null"), F.struct(*names).alias("_more"))
+    own = docs.select(_rid(docs, doc_id).alias("rid"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.col(text).isNull().alias("_null"), F.struct(*names).alias("_more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             out = []
             for t, null, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 out.append(None if null else cut(t, _union([(x["a"], x["b"]) for x in spans or ()])).decode("utf-8", "ignore"))

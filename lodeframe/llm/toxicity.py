@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.common import sliced
+
 SAMPLE, VOCABULARY, GRADES, CUT = 4_000, 20_000, 4, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -100,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     marks = {index[r.w] for r in vocab if r.odds >= 3 and r.n1 >= 4 * least}
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 0):
             found = _counts(b.column(0).to_pylist(), index)
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64())), b.column(1)], ["k", "n", "toxic"])
 
@@ -116,6 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
 class Scorer:
     """Expected severity of texts; the vocabulary's words within each white-space piece are cached."""
 
+    #: Entries of the cache, and the longest piece that it keeps; together they bound its bytes.
+    LIMIT, LONG = 150_000, 64
+
     def __init__(self, model: Model):
         self.model, self.index, self.cache = model, {w: k for k, w in enumerate(model.weights)}, {}
         self.weights = list(model.weights.values())
@@ -127,9 +132,11 @@ class Scorer:
             try:
                 ks = cache[s]
             except KeyError:
-                if len(cache) > 400_000:
-                    cache.clear()
-                ks = cache[s] = tuple(self.index[w] for w in WORD.findall(s.lower()) if w in self.index)
+                ks = tuple(self.index[w] for w in WORD.findall(s.lower()) if w in self.index)
+                if len(s) <= self.LONG:
+                    if len(cache) > self.LIMIT:
+                        cache.clear()
+                    cache[s] = ks
             for k in ks:
                 counts[k] = counts.get(k, 0) + 1
         if not counts:
@@ -142,7 +149,7 @@ def score(docs: DataFrame, model: Model | None, cut: float = CUT, doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
-        for b in batches:
+        for b in sliced(batches, 1):
             s = [scorer(t) if scorer and t else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s, pa.float64()), pa.array([round(x) for x in s], pa.int32()), pa.array([x >= cut for x in s], pa.bool_())], ["doc_id", "severity", "grade", "toxic"])
@@ -158,7 +165,7 @@ def reject(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in sliced(batches, at):
             yield b.filter(pa.array([not t or scorer(t) < cut for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm import graph_ann, language_id, mixing, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from lodeframe.llm import graph_ann, language_id, mixing, overlap, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, word string, rid long"
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -87,7 +87,7 @@ def test_merge_of_runs():
         for i in range(rng.randrange(1, 40)):
             s = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))).encode()
             rng.choice(runs).setdefault((s, b""), []).append((i, 0))
-        out = list(suffix_dedup.merged([suffix_dedup.front_coded(r, 1) for r in runs]))
+        out = list(suffix_dedup.merged([suffix_dedup.front_coded(r) for r in runs]))
         assert [e[1] for e in out] == sorted(s for r in runs for s, _ in r)
         assert [e[0] for e in out[1:]] == [suffix_dedup.shared(a[1], b[1]) for a, b in zip(out, out[1:], strict=False)]
 
@@ -186,11 +186,91 @@ def test_simhash(spark, texts):
     got = {r.doc_id: r for r in simhash.simhash_groups(table(spark, short)).collect()}
     assert [got[i].fp & (2**64 - 1) for i in range(len(short))] == fps
     assert [got[i].component_id for i in range(len(short))] == _classes(fps, range(len(short)), 4)
-    kept = simhash.dedup(table(spark, short))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({got[i].component_id for i in got})
     assert simhash.simhash_groups(empty(table(spark, short))).count() == 0
 
 
+def near_classes(texts):
+    """Of each text the first one of its component, by all pairs with a Jaccard similarity of 0.8 of five-word shingles."""
+
+    def cut(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+    sets, low, before = [cut(t) for t in texts], list(range(len(texts))), None
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    while low != before:
+        before = list(low)
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+def test_near_copies(spark, texts):
+    """Texts with words replaced at random places, one large group among them, shared passages, odd texts; rows that
+    repeat an id, with the same text and with another; clashing extra columns."""
+    rng = random.Random(8)
+    rows = list(texts)
+    for t in [prose(rng, n, [f"w{i}" for i in range(5000)]) for n in (100, 200, 400, 60, 100)]:
+        for k in (0, 1, 2, 3, 4, 6, 8, 12, *[1] * 8):
+            ws = t.split()
+            for at in rng.sample(range(len(ws)), k):
+                ws[at] = f"new{rng.randrange(10**9)}"
+            rows.append(" ".join(ws))
+    passage = prose(rng, 60)
+    rows += [passage + " " + prose(rng, n) for n in (3, 9, 12, 20, 200)] + ["one two", "One  two", "one two three four five six"]
+    rng.shuffle(rows)
+    low = near_classes(rows)
+    assert len(set(low)) < len(rows) - 60
+    docs = table(spark, rows).withColumn("node", F.lit(1)).withColumn("words", F.lit("w"))
+    kept = simhash.dedup(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
+    assert simhash.dedup(empty(docs)).count() == 0
+    base = [r.asDict() for r in docs.where("doc_id < 2").collect()]
+    lone = {**base[0], "text": prose(rng, 50, ["unlike", "any", "other", "of", "them"])}
+    twice = spark.createDataFrame([base[0], base[0], lone, base[1], {**base[0], "doc_id": None}, {**base[0], "doc_id": None}], docs.schema)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.dedup(twice).collect())
+    want = {(False, r["doc_id"], r["text"] or "") for r in (base[0], lone, base[1])}
+    assert got == sorted(want) + [(True, 0, base[0]["text"] or "")] * 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_buckets_of_shared_shingles(seed):
+    """Held texts and passing ones, some linked already: the links join exactly what all pairs join."""
+    rng = random.Random(seed)
+    sets, roots = [], []
+    for g in range(6):
+        base = [rng.getrandbits(60) for _ in range(40)]
+        for _ in range(rng.randrange(1, 8)):
+            s = set(base)
+            for _ in range(rng.randrange(6)):
+                s.remove(rng.choice(sorted(s)))
+                s.add(rng.getrandbits(60))
+            sets.append(np.array(sorted(s), np.uint64))
+            roots.append(len(sets) - 1)
+    for i in range(1, len(sets)):  # what is known
+        if rng.random() < 0.3 and overlap.close(sets[i], sets[i - 1], (4, 5)):
+            roots[i] = roots[i - 1]
+    main = Counter(roots).most_common(1)[0][0]
+    bucket = overlap.Bucket((4, 5), True)
+    for big in (False, True):
+        for i, s in enumerate(sets):
+            if (roots[i] == main) == big:
+                bucket.meet(i, s) if big else bucket.hold(i, roots[i], s)
+    links = bucket.end()
+    assert all(overlap.close(sets[a], sets[b], (4, 5)) for a, b in links)
+
+    def classes(pairs):
+        low = list(range(len(sets)))
+        for _ in sets:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    known = [(i, r) for i, r in enumerate(roots)]
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if overlap.close(sets[i], sets[j], (4, 5))]
+    assert classes(links + known) == classes(every + known)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_links_lose_nothing(spark, seed):
     rng = random.Random(seed)
@@ -201,8 +281,8 @@ def test_links_lose_nothing(spark, seed):
     nodes = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(fps)], "fp long, id long")
     label = {r.a: r.b for r in simhash.components(simhash.links(nodes)).collect()}
     assert [label.get(i, i) for i in range(len(fps))] == _classes(fps, range(len(fps)), 4)
-    bucket = simhash.stars(fps, list(range(len(fps))), 4)
-    assert len(bucket) == len({a for a, _ in bucket})
+    bucket = simhash.spanning(fps, list(range(len(fps))), 4)
+    assert len(bucket) == len(fps) - len(set(label.get(i, i) for i in range(len(fps))))  # spanning, no more
 
 
 def test_block_choices_cover_the_radius():

@@ -44,34 +44,3 @@ def test_stages(spark, tmp_path):
     assert ids["mixing"] <= ids["suffix_array_dedup"] and ids["packing"] == ids["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
     assert all(re.fullmatch(r"[a-z_]+", n) for n, _ in corpus_pipeline.STAGES)
-
-
-def test_near_copies(spark):
-    """Against all pairs: texts with words replaced at random places, shared passages, short and odd texts."""
-    rng = random.Random(8)
-    base = [prose(rng, n, [f"w{i}" for i in range(5000)]) for n in (100, 200, 400, 60, 100)]
-    rows, wide = [], 0
-    for t in base:
-        for k in (0, 1, 2, 3, 4, 6, 8, 12):
-            ws = t.split()
-            for at in rng.sample(range(len(ws)), k):
-                ws[at] = f"new{rng.randrange(10**9)}"
-            rows.append(" ".join(ws))
-    passage = prose(rng, 60)
-    rows += [passage + " " + prose(rng, n) for n in (3, 9, 12, 20, 200)] + [None, "", " ", "one two", "One  two", "one two three four five six"]
-    rng.shuffle(rows)
-
-    def cut(t):
-        ws = (t or "").lower().split()
-        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
-
-    sets, low = [cut(t) for t in rows], list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 5 * len(a & b) >= 4 * len(a | b):
-                    low[i] = low[j] = min(low[i], low[j])
-                    wide += i < j
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)] + [(None, "one two", "en", "s", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
-    assert wide and kept.count(None) == 2 and sorted(i for i in kept if i is not None) == sorted(set(low))
