@@ -351,38 +351,98 @@ def test_margins_do_not_cross_texts():
 
 
 # 7
-def test_suffix_tree_lm(spark, texts, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "DIVERGENCE", 2.0)
-    docs = table(spark, texts).withColumn("learn", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).withColumn("held_out", ~F.col("learn"))
-    rows = {r.doc_id: r for r in suffix_tree_lm.score(docs, 20).collect()}
-    learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
-    toks = [[*(t or "").encode().lower().split(), None] for t in texts]
-    c = Counter(w for i, t in enumerate(toks) if learn(i) for w in t)
+def _plain_tree(texts, learn, depth, divergence):
+    """log10 probabilities of texts by a plain suffix tree; all known words are symbols, as in small tables."""
+    toks = [(t or "").lower().split() + [None] for t in texts]
+    c = Counter(w for t, ok in zip(toks, learn, strict=True) if ok for w in t)
+    total, size = sum(c.values()), len(c) + 1  # and the class of unknown words
+    root = lambda w: ((c[w] if w in c else 0) + 0.5) / (total + 0.5 * size)
+    symbol = lambda w: w if w in c else "?"
+
+    def back(t, i):
+        own = [symbol(w) for w in t[:i]][::-1][:depth]
+        return tuple(own + [None]) if len(own) < depth else tuple(own)
+
+    seen = defaultdict(Counter)
+    for t, ok in zip(toks, learn, strict=True):
+        for i, w in enumerate(t) if ok else ():
+            for d in range(1, len(back(t, i)) + 1):
+                seen[back(t, i)[:d]][w] += 1
+    least, states = max(8, suffix_tree_lm.LEAST * total), {}
+
+    def p(ctx, w):
+        if not ctx:
+            return root(w)
+        return state(ctx)[0].get(w, 0) + state(ctx)[1] * p(ctx[:-1], w)
+
+    def state(ctx):
+        if ctx not in states:
+            f = seen.get(ctx, {})
+            n, kinds = sum(f.values()), len(f)
+            kept = {w: k for w, k in f.items() if n < least or k >= 2}
+            share, weight = {w: k / (n + kinds) for w, k in kept.items()}, (n - sum(kept.values()) + kinds) / max(1, n + kinds)
+            below = {w: p(ctx[:-1], w) for w in kept}
+            gain = sum(k * math.log((share[w] + weight * below[w]) / below[w]) for w, k in kept.items())
+            states[ctx] = (share, weight) if n >= 2 and gain >= divergence else ({}, 1.0)
+        return states[ctx]
+
+    return [sum(math.log10(p(back(t, i), symbol(w)) * (1 if w is None or w in c else 0.5)) for i, w in enumerate(t)) for t in toks]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_tree_lm(spark, texts, parts):
+    """Counts and base against plain ones, score against a plain suffix tree; phrases that are rare and frequent ones."""
+    rng = random.Random(4)
+    phrases = [prose(rng, 7, [f"p{k}" for k in range(60)]) for _ in range(30)]
+    rows = [t for t in texts if len(t or "") < 100_000] + [" ".join(rng.choice(phrases[:10] + phrases * (i % 3)) for _ in range(rng.randrange(1, 9))) for i in range(60)]
+    rows += ["once twice thrice", rows[3], rows[3]]
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(rows))]
+    docs = table(spark, rows).withColumn("learn", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).withColumn("held_out", ~F.col("learn")).repartition(parts)
+    got = {r.doc_id: r for r in suffix_tree_lm.score(docs, 20).collect()}
+    toks = [[*(t or "").encode().lower().split(), None] for t in rows]
+    c = Counter(w for i, t in enumerate(toks) if learn[i] for w in t)
     n, v = sum(c.values()), len(c)
+    want = _plain_tree([(t or "").encode().decode("latin-1") for t in rows], learn, suffix_tree_lm.DEPTH, suffix_tree_lm.DIVERGENCE)
+    assert len(got) == len(rows)
     for i, t in enumerate(toks):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learn(i), len(t), sum(c[w] > 0 for w in t), n) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
-        assert r.score < 0 and math.isfinite(r.score)
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learn[i], len(t), sum(c[w] > 0 for w in t), n) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+        if (rows[i] or "").isascii():
+            assert abs(r.score - want[i]) < 1e-6 * max(1, abs(want[i])), i
+    held = [i for i in range(len(rows)) if not learn[i]]
+    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+
+
+def test_suffix_tree_edges(spark, texts):
+    docs = table(spark, texts).withColumn("learn", F.lit(True)).withColumn("held_out", F.lit(False)).withColumn("size", F.lit(1))
+    rows = suffix_tree_lm.score(docs).collect()
+    assert len(rows) == len(texts) and all(r.score < 0 and math.isfinite(r.score) for r in rows)
     none = suffix_tree_lm.score(docs.withColumn("learn", F.lit(False)).where("doc_id < 3")).collect()
     assert len(none) == 3 and all(r.base_score == 0 and r.n_known == 0 for r in none)
     assert suffix_tree_lm.score(empty(docs)).count() == 0
-
-
-def test_tree_sums_to_one(spark):
-    rng = random.Random(9)
-    text = " ".join(rng.choice(["a b c", "b a", "c c d"]) for _ in range(3000))
-    docs = spark.createDataFrame([(text.encode(), True)], "text binary, learn boolean")
-    alphabet = suffix_tree_lm.Alphabet({b"a": 2, b"b": 3, b"c": 4, b"d": 5}, {})
-    n = np.bincount(alphabet.symbols(text.encode().split()), minlength=6)
-    root = (n + 0.5) / (n.sum() + 3.0)
-    tree = suffix_tree_lm.learn_tree(docs, alphabet, root, int(n.sum()))
-    assert len(tree.levels[0].contexts) >= 3
-    for a in range(2, 6):
-        for b in range(2, 6):
-            s = np.arange(6)
-            known = [(np.full(6, b), np.ones(6, bool)), (np.full(6, a << suffix_tree_lm.BITS | b), np.ones(6, bool))]
-            assert abs(tree.probability(s, known).sum() - 1) < 1e-9
+    same = docs.where("doc_id < 4")
+    twice = suffix_tree_lm.score(same.unionByName(same).unionByName(same.withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    by = defaultdict(set)
+    for r in twice:
+        by[r.n_tokens].add(round(r.score, 9))
+    assert len(twice) == 12 and sum(r.doc_id is None for r in twice) == 4 and all(len(x) == 1 for x in by.values())
+
+
+def test_places_of_a_context():
+    """Packed contexts come apart again, and stand for the symbols before a place."""
+    rng = np.random.RandomState(3)
+    texts = [rng.randint(0, 9, n) for n in (1, 4, 30, 7)]
+    s, first = np.concatenate(texts), np.concatenate([np.arange(len(t)) for t in texts])
+    near, far = suffix_tree_lm.windows(s, first)
+    at = 0
+    for t in texts:
+        for i in range(len(t)):
+            want = [t[i - k] if k <= i else suffix_tree_lm.END if k == i + 1 else suffix_tree_lm.NONE for k in range(1, suffix_tree_lm.DEPTH + 1)]
+            assert [int(suffix_tree_lm.last_of(near, far, k)[at]) for k in range(1, suffix_tree_lm.DEPTH + 1)] == want
+            at += 1
+    x = rng.randint(0, 1 << 15, 1000)
+    assert (suffix_tree_lm.unpack(suffix_tree_lm.pack(x), 1000) == x).all()
 
 
 # 8
