@@ -1,16 +1,20 @@
 """Language identification by hierarchical discrimination: family first, then the language within it.
 
 Features are relative frequencies of hashed byte 2- and 3-grams of the lower-cased text, everything but letters
-taken as one blank. Linear support vector machines (hinge loss, trained by dual coordinate descent) are one-versus-
-one: between families, then between the languages of a family. Votes decide, then margins.
-
-The machines are fitted on a bounded sample of labelled rows: about `PER_LANGUAGE` rows of each language, those
-whose id hashes lowest, at most `SAMPLE` in all. Prediction covers every whole text in one map-only pass. Only
-text and lang are learned from; a prediction looks at nothing but the text.
-
-Defined cases: null texts and texts without a letter are `und` with score 0. Repeated rows are judged each on its
-own. A single learned language is predicted with score 1; without any, everything is `und`. A null id neither
-learns nor counts as held out.
+taken as one blank. Linear support vector machines (hinge loss, trained by dual coordinate descent) tell each family
+from all others; within a family they are one-versus-one, and votes decide, then margins. Languages outside the
+known families form families of `GROUP`, in the order of their names, so machines grow with the number of languages
+and not with its square.
+
+The machines are fitted on a bounded sample of labelled rows: of each language those whose id hashes lowest,
+`PER_LANGUAGE` of them, or fewer where there would be more than `SAMPLE` in all, but `FEWEST` at least. Prediction
+covers every whole text in one map-only pass. Only text and lang are learned from; a prediction looks at nothing but
+the text.
+
+Defined cases: null texts and texts without a letter are `und` with score 0. Very long texts are read whole, in parts of
+`PART` bytes. Repeated rows are judged each on its own. Equal votes go by margins, equal margins to the first name. A
+single learned language is predicted with score 1; without any, everything is `und`. A null id neither learns nor counts
+as held out. Extra columns are not read unless named in `keep`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import crc_mod
+from lodeframe.llm.common import crc_mod, sliced
 
-PER_LANGUAGE, SAMPLE, BITS, SCALE = 400, 4_000, 15, 40.0
-#: Languages of the larger families; any other is a family of its own.
+PER_LANGUAGE, SAMPLE, FEWEST, BITS, SCALE = 400, 4_000, 20, 15, 40.0
+GROUP, PART = 8, 4 << 20
+#: Languages of the larger families; any other joins a group of them.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af",
     "romance": "fr es it pt ro ca gl oc",
@@ -76,11 +81,18 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float =
     return w
 
 
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    others = sorted(x for x in langs if x not in FAMILY)
+    for x in sorted(langs):
+        out.setdefault(FAMILY[x] if x in FAMILY else f"other {others.index(x) // GROUP}", []).append(x)
+    return dict(sorted(out.items()))
+
+
 @dataclass
 class Model:
-    """pairs: (group a, group b) of each machine, groups being families or languages; table: grams x machines."""
+    """table: grams x machines; first one for each family if there are several, then those of `pairs` (a, b)."""
 
-    languages: list[str]
     families: dict[str, list[str]]
     pairs: list[tuple[str, str]]
     table: np.ndarray
@@ -88,33 +100,25 @@ class Model:
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         parts = [b" " + t.translate(_TABLE) + b"  " for t in texts]
-        out = np.zeros((len(texts), len(self.pairs)))
-        at, i = 0, 0
-        while i < len(parts):  # about a megabyte at a time
-            j, size = i, 0
-            while j < len(parts) and (j == i or size + len(parts[j]) < 1 << 20):
-                size += len(parts[j])
-                j += 1
-            starts = np.cumsum([0, *[len(p) for p in parts[i : j - 1]]])
-            two, three = grams(np.frombuffer(b"".join(parts[i:j]), np.uint8))
-            ends = np.append(starts[1:], size)
-            for codes, width in ((two, 2), (three, 3)):
-                codes = codes.copy()
-                for k in range(1, width):  # grams that reach into the next text weigh nothing
-                    codes[ends[:-1] - k] = 1 << BITS
-                out[i:j] += np.add.reduceat(self.table[codes], starts, axis=0)
-            i = j
-        n = np.array([2 * len(p) - 3 for p in parts], dtype=np.float64)
-        return out / n[:, None] * SCALE + self.bias
-
-    def choose(self, names: list[str], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Winner among groups by votes, then by summed margins; and its least margin."""
-        if len(names) == 1:
-            return np.zeros(len(m), int), np.full(len(m), np.inf)
-        votes, least = np.zeros((len(m), len(names))), np.full((len(m), len(names)), np.inf)
-        for k, (a, b) in enumerate(self.pairs):
-            if a in names and b in names:
-                for x, s in ((names.index(a), m[:, k]), (names.index(b), -m[:, k])):
+        sizes = np.array([len(p) for p in parts])
+        out, starts = np.zeros((len(texts), self.table.shape[1])), np.cumsum(sizes) - sizes
+        step = max(1024, PART // (4 * self.table.shape[1]))  # places whose weights are held at once
+        for at, codes in zip((0, 1), grams(np.frombuffer(b"".join(parts), np.uint8)), strict=True):
+            for k in range(1, at + 2):  # grams that reach into the next text weigh nothing
+                codes[(starts[1:] - k)] = 1 << BITS
+            for i in range(0, len(codes), step):
+                own = codes[i : i + step]
+                a, b = np.searchsorted(starts, [i, i + len(own) - 1], "right") - 1
+                edges = np.maximum(starts[a : b + 1], i) - i
+                out[a : b + 1] += np.add.reduceat(self.table[own], edges, axis=0, dtype=np.float64)
+        return out / (2 * sizes - 3)[:, None] * SCALE + self.bias
+
+    def choose(self, langs: list[str], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Winner among the languages of a family by votes, then by margins; and its least margin."""
+        votes, least = np.zeros((len(m), len(langs))), np.full((len(m), len(langs)), np.inf)
+        for k, (a, b) in enumerate(self.pairs, self.table.shape[1] - len(self.pairs)):
+            if a in langs:
+                for x, s in ((langs.index(a), m[:, k]), (langs.index(b), -m[:, k])):
                     votes[:, x] += (s > 0) + 1e-3 * np.tanh(s)
                     least[:, x] = np.minimum(least[:, x], s)
         best = votes.argmax(axis=1)
@@ -123,16 +127,15 @@ class Model:
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         if not texts:
             return []
-        m = self.margins(texts)
-        names = sorted(self.families)
-        family, sure = self.choose(names, m)
+        m, several = self.margins(texts), len(self.families) > 1
+        family = m[:, : len(self.families)].argmax(axis=1) if several else np.zeros(len(m), int)
+        sure = m[np.arange(len(m)), family] if several else np.full(len(m), np.inf)
         out = [("", 0.0)] * len(texts)
-        for k, name in enumerate(names):
-            langs = self.families[name]
+        for k, langs in enumerate(self.families.values()):
             rows = np.flatnonzero(family == k)
             best, margin = self.choose(langs, m[rows])
             for r, b, s in zip(rows.tolist(), best.tolist(), np.minimum(margin, sure[rows]).tolist(), strict=True):
-                out[r] = (langs[b], float(1 / (1 + np.exp(-min(2 * s, 700.0)))))
+                out[r] = (langs[b], float(1 / (1 + np.exp(-np.clip(2 * s, -700, 700)))))
         return out
 
 
@@ -143,17 +146,20 @@ def _letters(text: Column) -> Column:
 def train(docs: DataFrame, learn: Column) -> Model | None:
     """docs (doc_id, text, lang); learn: which rows may be learned from."""
     known = docs.where(learn & F.col("lang").isNotNull() & _letters(F.col("text")))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(SAMPLE // 10).collect()}
-    if not sizes:
+    sizes = known.groupBy("lang").count()
+    n_langs = sizes.count()
+    if not n_langs:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, PER_LANGUAGE / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * float(1 << 30)
-    rows = known.where(drawn).limit(SAMPLE).select("lang", F.col("text").cast("binary").alias("text"))
+    quota = min(PER_LANGUAGE, max(FEWEST, SAMPLE // n_langs))
+    # Three times as many as are wanted, by a bound on the hash; of these the lowest.
+    place = F.xxhash64("doc_id", F.lit(3))
+    drawn = F.pmod(place, F.lit(1 << 30)) < F.least(F.lit(1.0), 3.0 * quota / F.col("count")) * float(1 << 30)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), place, "doc_id", "text"))
+    rows = known.join(F.broadcast(sizes) if n_langs <= 100_000 else sizes, "lang").where(drawn)
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= quota).select("lang", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             found = [counts(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([k.astype(np.uint16).tobytes() for k, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())], ["lang", "k", "n"])
@@ -161,28 +167,28 @@ def train(docs: DataFrame, learn: Column) -> Model | None:
     got = sorted(rows.mapInArrow(run, "lang string, k binary, n binary").collect())
     data = [(np.frombuffer(r.k, np.uint16).astype(np.int64), np.frombuffer(r.n, np.uint32).astype(np.float64)) for r in got]
     data = [(k, n / n.sum() * SCALE) for k, n in data]
-    langs = sorted({r.lang for r in got})
-    family = {x: FAMILY.get(x, x) for x in langs}
-    families = {f: [x for x in langs if family[x] == f] for f in sorted(set(family.values()))}
-    tasks = [(a, b, [family[r.lang] for r in got]) for a, b in combinations(sorted(families), 2)]
-    tasks += [(a, b, [r.lang for r in got]) for f in families.values() for a, b in combinations(f, 2)]
+    families = families_of(sorted({r.lang for r in got}))
+    family = {x: f for f, langs in families.items() for x in langs}
+    pairs = [x for langs in families.values() for x in combinations(langs, 2)]
+    every = np.array([r.lang for r in got])
+    tasks = [(np.ones(len(got), bool), np.array([family[x] for x in every]) == f) for f in families] if len(families) > 1 else []
+    tasks += [(np.isin(every, (a, b)), every == a) for a, b in pairs]
     table, bias = np.zeros(((1 << BITS) + 1, max(1, len(tasks))), np.float32), np.zeros(max(1, len(tasks)))
-    for t, (a, b, of) in enumerate(tasks):
-        own = [i for i, x in enumerate(of) if x in (a, b)]
-        w = fit_svm([data[i] for i in own], np.array([1.0 if of[i] == a else -1.0 for i in own]))
+    for t, (among, positive) in enumerate(tasks):
+        w = fit_svm([data[i] for i in np.flatnonzero(among)], np.where(positive[among], 1.0, -1.0))
         table[:-1, t], bias[t] = w[:-1], w[-1]
-    return Model(langs, families, [(a, b) for a, b, _ in tasks] or [("", "")], table, bias)
+    return Model(families, pairs, table, bias)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, and what is named in `keep`."""
     own = docs.select("doc_id", F.when(_letters(F.col("text")), F.col("text").cast("binary")).alias("text"), *keep)
-    shared = own.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the learned languages
+    shared = own.sparkSession.sparkContext.broadcast(model)  # of a size fixed by BITS for each learned language
     types = {"lang_pred": pa.string(), "score": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in sliced(batches, 1):
             texts = b.column(1).to_pylist()
             some = [i for i, t in enumerate(texts) if t is not None] if m else []
             out = [("und", 0.0)] * len(texts)
