@@ -5,23 +5,27 @@ labelled URLs (`SAMPLE` rows, those with the smallest hash of their id) and then
 nested CASE expressions, so judging the URLs is a map-only projection.
 
 A URL is labelled by the document its path ends in: bad if that document's label says low quality or toxic.
-Statistics of host suffixes come from the same sample, so there are at most `SAMPLE` of them and their table
-is broadcast.
+Statistics of host suffixes cover all labelled URLs; a row that the trees learn from sees its suffix without the
+fold of rows that it belongs to. Their table is broadcast up to a checked size.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and fits no rule. Repeated rows are
-judged each on its own. Without labelled URLs of both kinds the trees are empty and allow everything.
+judged each on its own, and so are rows without an id. A very long URL is one value like any other. Of rules of equal
+length the last in the order of their text wins; a suffix without labels counts as one half. Extra columns are not read.
+Without labelled URLs of both kinds the trees are empty and allow everything. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TREES, DEPTH, SEED = 20_000, 12, 3, 7
+from lodeframe.llm.common import hinted, written
+
+SAMPLE, TREES, DEPTH, SEED, FOLDS = 20_000, 12, 3, 7, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path) of the rules.
@@ -91,12 +95,19 @@ def compile_trees(debug: str, weights: list[float], columns: list[str]) -> Colum
     return total
 
 
+def vectors(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="_v").transform(rows)
+
+
+def fit(labelled: DataFrame, columns: list[str], trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel:
+    return GBTClassifier(featuresCol="_v", labelCol="bad", maxIter=trees, maxDepth=depth, seed=SEED).fit(vectors(labelled, columns).select("_v", "bad"))
+
+
 def train(labelled: DataFrame, columns: list[str], trees: int = TREES, depth: int = DEPTH) -> Column:
     """Fits the trees to rows with a `bad` of 0.0 or 1.0; an expression that is above 0 for bad URLs."""
     if labelled.select("bad").distinct().count() < 2:
         return F.lit(-1.0)
-    rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(labelled).select("_v", "bad")
-    model = GBTClassifier(featuresCol="_v", labelCol="bad", maxIter=trees, maxDepth=depth, seed=SEED).fit(rows)
+    model = fit(labelled, columns, trees, depth)
     return compile_trees(model.toDebugString, list(model.treeWeights), columns)
 
 
@@ -111,21 +122,24 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         seen = seen.withColumn(f"_f_{name}", c)
     bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("double")).alias("bad"))
     doc = F.regexp_extract("path", r"/(\d{1,18})(?:\.\w+|/)?$", 1)
-    labelled = (
-        seen.withColumn("doc_id", F.when(doc != "", doc.cast("long"))).join(bad, "doc_id")
-        .orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).where("bad IS NOT NULL"))
+    labelled = seen.withColumn("doc_id", F.when(doc != "", doc.cast("long"))).join(bad.where("bad IS NOT NULL"), "doc_id")
+    fold = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS))
+    by_fold = [F.sum(F.when(fold == k, x)) for k in range(FOLDS) for x in (F.col("bad"), F.lit(1))]
+    suffixes = labelled.groupBy("_suffix").agg(F.sum("bad").alias("_bad"), F.count("*").alias("_n"), F.array(*by_fold).alias("_folds"))
+    suffixes = written(suffixes, "url-suffixes")
     # A suffix's share of bad URLs, drawn towards one half by ten rows' worth.
-    suffixes = labelled.groupBy("_suffix").agg(((F.sum("bad") + 5.0) / (F.count("*") + 10.0)).alias("_f_suffix"))
-    suffixes = F.broadcast(suffixes)
+    share = lambda bad, n: F.coalesce((bad + 5.0) / (n + 10.0), F.lit(0.5))
+    with_suffix = lambda df: df.join(hinted(suffixes), "_suffix", "left")
     columns = [f"_f_{x}" for x in named] + ["_f_suffix"]
-    with_suffix = lambda df: df.join(suffixes, "_suffix", "left").fillna({"_f_suffix": 0.5})
-    held = with_suffix(labelled).select("bad", *columns).persist()
+    drawn = labelled.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample)
+    own = [F.coalesce(F.element_at("_folds", (2 * fold + k).cast("int")), F.lit(0.0)) for k in (1, 2)]
+    held = with_suffix(drawn).withColumn("_f_suffix", share(F.col("_bad") - own[0], F.col("_n") - own[1])).select("bad", *columns).persist()
     try:
         score = train(held, columns)
     finally:
         held.unpersist()
     rule, verdict = rule_columns(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    out = with_suffix(seen).withColumn("bad_score", score)
+    out = with_suffix(seen).withColumn("_f_suffix", share(F.col("_bad"), F.col("_n"))).withColumn("bad_score", score)
     return out.select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("bad_score") > 0, "block").otherwise("allow")).alias("verdict"), "bad_score")
