@@ -8,26 +8,32 @@ hold, a marking word being one whose odds in toxic rows exceed those in clean ro
 The fit uses a bounded sample: at most `SAMPLE` labelled rows of either kind, those with the smallest hash, of
 distinct texts. Everything else, the scoring of whole texts, covers all rows in one map-only pass.
 
-Defined cases: null and empty texts have severity 0. Repeated rows are judged each on its own. Without labelled
-rows of both kinds nothing is rejected.
+Labels that differ for equal texts, or for rows that repeat an id, count as toxic if one of them says so.
+
+Defined cases: null and empty texts have severity 0. Very long texts are read whole. Repeated rows are judged each on its
+own, and rows without an id like any other, though nothing is learned from them. Words of equal odds enter the
+vocabulary in the order of their letters. Extra columns are not read, and `reject` returns them. Without labelled rows
+of both kinds nothing is rejected. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import sliced
+from lodeframe.llm.common import sliced, written
 
 SAMPLE, VOCABULARY, GRADES, CUT = 4_000, 20_000, 4, 0.5
-WORD = re.compile(r"[^\W\d_]+")
+#: Words, as the fixed pattern that both Spark's expressions and Python's read alike.
+LETTERS = r"[\p{L}\p{M}]+"
+WORD = regex.compile(LETTERS)
 
 
 @dataclass
@@ -39,32 +45,46 @@ class Model:
         return sum(1 / (1 + math.exp(min(700.0, t - x))) for t in self.thetas)
 
 
-def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, size: int, n_grades: int = GRADES, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by full-batch Adam on the mean negative log likelihood."""
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def thresholds(p: np.ndarray, size: int) -> np.ndarray:
+    """Parameters are the weights, the first threshold, and the logs of the gaps to the next ones."""
+    return np.concatenate([[p[size]], p[size] + np.cumsum(np.exp(np.clip(p[size + 1 :], -6, 6)))])
+
+
+def loss(p: np.ndarray, rows: tuple, grades: np.ndarray, size: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of a cumulative link, with its penalty; and the gradient."""
+    at, col, val = rows
+    n, cuts, w, theta = len(grades), len(p) - size, p[:size], thresholds(p, size)
+    x = np.bincount(at, val * w[col], n)
+    above = np.column_stack([np.ones(n), *[sigmoid(x - t) for t in theta], np.zeros(n)])  # P(grade >= k)
+    r = np.arange(n)
+    hi, lo = above[r, grades], above[r, grades + 1]
+    like = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
+    gtheta = np.array([(dhi[grades == k + 1].sum() - dlo[grades == k].sum()) / n for k in range(cuts)])
+    gaps = np.exp(np.clip(p[size + 1 :], -6, 6))
+    g = np.concatenate([np.bincount(col, val * (dlo - dhi)[at] / n, size) + l2 * w, [gtheta.sum()], gaps * np.cumsum(gtheta[::-1])[::-1][1:]])
+    return float(-np.log(like).mean() + l2 / 2 * (w @ w)), g
+
+
+def sparse(rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.fromiter((k for r in rows for k in r), np.int64, len(at))
-    val = np.log1p(np.fromiter((v for r in rows for v in r.values()), np.float64, len(at)))
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-    n, cuts = len(rows), n_grades - 1
-    p = np.zeros(size + cuts)
-    p[size:] = [1.0, *[0.0] * (cuts - 1)]  # first threshold, then the logs of the gaps
+    return at, np.fromiter((k for r in rows for k in r), np.int64, len(at)), np.log1p(np.fromiter((v for r in rows for v in r.values()), np.float64, len(at)))
+
+
+def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, size: int, n_grades: int = GRADES, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by full-batch Adam."""
+    data, p = sparse(rows), np.zeros(size + n_grades - 1)
+    p[size] = 1.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, gaps = p[:size], np.exp(np.clip(p[size + 1 :], -6, 6))
-        theta = np.concatenate([[p[size]], p[size] + np.cumsum(gaps)])
-        x = np.bincount(at, val * w[col], n)
-        above = np.column_stack([np.ones(n), *[sig(x - t) for t in theta], np.zeros(n)])  # P(grade >= k)
-        r = np.arange(n)
-        hi, lo = above[r, grades], above[r, grades + 1]
-        like = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
-        gx = -(dhi - dlo) / n
-        gtheta = np.array([(dhi[grades == k + 1].sum() - dlo[grades == k].sum()) / n for k in range(cuts)])
-        g = np.concatenate([np.bincount(col, val * gx[at], size) + l2 * w, [gtheta.sum()], gaps * np.cumsum(gtheta[::-1])[::-1][1:]])
+        g = loss(p, data, grades, size, l2)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    gaps = np.exp(np.clip(p[size + 1 :], -6, 6))
-    return p[:size], np.concatenate([[p[size]], p[size] + np.cumsum(gaps)])
+    return p[:size], thresholds(p, size)
 
 
 def _counts(texts: list, index: dict[str, int]) -> list[dict[int, int]]:
@@ -84,8 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     order = [F.xxhash64("doc_id", F.lit(11)), "doc_id"]
     kinds = [known.where(f"toxic = {k}").select("doc_id", "toxic").orderBy(*order).limit(sample) for k in (0, 1)]
-    rows = own.join(kinds[0].union(kinds[1]), "doc_id").dropDuplicates(["text"]).select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.withColumn("ws", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
+    chosen = written(kinds[0].union(kinds[1]), "toxicity-labels")  # at most twice `sample`
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = written(rows.withColumn("ws", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))), "toxicity-sample")
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return None
