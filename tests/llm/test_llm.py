@@ -119,6 +119,40 @@ def test_toxicity(spark):
     assert toxicity.score(empty(docs), model).count() == 0 and toxicity.reject(docs, model).columns == docs.columns
 
 
+def test_ordinal_loss_and_gradient():
+    """The loss by hand, the gradient by differences, and a fit that ends where the gradient does."""
+    rng = np.random.RandomState(4)
+    rows = [{int(k): int(rng.randint(1, 4)) for k in rng.choice(6, rng.randint(0, 5), replace=False)} for _ in range(50)]
+    grades, p = rng.randint(0, 4, 50), rng.randn(9) * 0.5
+    theta = toxicity.thresholds(p, 6)
+    want = 0.0
+    for r, g in zip(rows, grades, strict=True):
+        x = sum(p[k] * math.log1p(v) for k, v in r.items())
+        above = [1.0, *[1 / (1 + math.exp(t - x)) for t in theta], 0.0]
+        want -= math.log(above[g] - above[g + 1]) / 50
+    got, gradient = toxicity.loss(p, toxicity.sparse(rows), grades, 6, 1e-2)
+    assert abs(got - want - 0.005 * (p[:6] @ p[:6])) < 1e-9 and list(theta) == sorted(theta)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        slope = (toxicity.loss(p + step, toxicity.sparse(rows), grades, 6, 1e-2)[0] - toxicity.loss(p - step, toxicity.sparse(rows), grades, 6, 1e-2)[0]) / 2e-6
+        assert abs(slope - gradient[i]) < 1e-6
+    w, cuts = toxicity.fit_ordinal(rows, grades, 6, steps=2000, l2=1e-2)
+    end = np.concatenate([w, cuts[:1], np.log(np.diff(cuts))])
+    assert np.abs(toxicity.loss(end, toxicity.sparse(rows), grades, 6, 1e-2)[1]).max() < 1e-3
+
+
+def test_toxicity_of_repeats(spark):
+    """Rows that repeat an id and texts with two labels; a null id; clashing columns."""
+    rng = random.Random(6)
+    rows = [(i % 90 if i % 90 else None, prose(rng, 30) + (" grobian lump" if i % 3 == 0 else ""), "x", i) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, severity string, toxic long")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 180 and sum(r.toxic for r in got) >= 55
+    assert toxicity.reject(docs, model).count() == sum(not r.toxic for r in got)
+
+
 # 3
 def test_fill_is_the_best_subset():
     rng = random.Random(6)
@@ -331,7 +365,7 @@ def test_language_id(spark):
     docs = table(spark, rows + ODD, langs)
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
     model = language_id.train(docs.where("doc_id < 320"), learn)
-    assert model.families == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    assert model.families == {"germanic": ["de", "en"], "romance": ["es", "fr"]} and model.table.shape[1] == 4
     got = {r.doc_id: r for r in language_id.identify(docs, model, ("h",)).collect()}
     held = [i for i in range(320) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([got[i].lang_pred == list(kinds)[i % 4] for i in held]) > 0.97
@@ -340,14 +374,59 @@ def test_language_id(spark):
     assert language_id.train(empty(docs), learn) is None and {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
-def test_margins_do_not_cross_texts():
+def _plain_margin(m, text, k):
+    at, n = language_id.counts(text)
+    return m.table[at, k].astype(np.float64) @ n / n.sum() * language_id.SCALE + m.bias[k]
+
+
+def test_margins_do_not_cross_texts(monkeypatch):
     rng = np.random.RandomState(1)
-    m = language_id.Model(["a", "b"], {"a": ["a"], "b": ["b"]}, [("a", "b")], np.vstack([rng.randn(1 << language_id.BITS, 1), [[0]]]).astype(np.float32), np.array([0.1]))
-    texts = [b"abc def", b"", b"x", "ñandú".encode() * 50]
-    assert np.allclose(m.margins(texts), np.vstack([m.margins([t]) for t in texts]))
-    for t in texts:
-        k, n = language_id.counts(t)
-        assert np.isclose(m.margins([t])[0, 0], m.table[k, 0] @ n / n.sum() * language_id.SCALE + 0.1, atol=1e-5)
+    table = np.vstack([rng.randn(1 << language_id.BITS, 4), np.zeros((1, 4))]).astype(np.float32)
+    m = language_id.Model({"f": ["a", "b"], "g": ["c", "d"]}, [("a", "b"), ("c", "d")], table, rng.randn(4))
+    texts = [b"abc def", b"", b"x", "ñandú".encode() * 50, bytes(rng.randint(97, 123, 9000).tolist())]
+    monkeypatch.setattr(language_id, "PART", 4 * 4 * 1500)  # long texts are read in parts
+    assert np.allclose(m.margins(texts), [[_plain_margin(m, t, k) for k in range(4)] for t in texts], atol=1e-4)
+    for t, (lang, score) in zip(texts, m.predict(texts), strict=True):
+        f, g, ab, cd = (_plain_margin(m, t, k) for k in range(4))
+        assert lang == (("a" if ab > 0 else "b") if f > g else ("c" if cd > 0 else "d")) and 0 <= score <= 1
+
+
+def test_votes_and_ties():
+    m = language_id.Model({"f": ["a", "b", "c"]}, [("a", "b"), ("a", "c"), ("b", "c")], np.zeros((2, 3), np.float32), np.zeros(3))
+    margins = np.array([[1.0, 1, 1], [-1, 1, 1], [1, -1, 2], [1, -2, 1], [0, 0, 0]])
+    best, least = m.choose(["a", "b", "c"], margins)
+    assert best.tolist() == [0, 1, 1, 2, 0] and least[0] == 1 and least[4] == 0  # one vote each: the larger margins
+
+
+def test_svm_is_optimal():
+    """The dual conditions of the hinge loss hold at the end."""
+    rng = np.random.RandomState(2)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.rand(6)) for _ in range(60)]
+    y = np.where(np.array([v[k < 20].sum() - v[k >= 20].sum() for k, v in rows]) + rng.randn(60) * 0.5 > 0, 1.0, -1.0)
+    w = language_id.fit_svm(rows, y, c=1.0, epochs=3000)
+    slack = [max(0.0, 1 - s * (w[k] @ v + w[-1])) for (k, v), s in zip(rows, y, strict=True)]
+    primal = 0.5 * (w @ w) + sum(slack)
+    for _ in range(200):
+        near = w + rng.randn(len(w)) * rng.choice([1e-3, 1e-2, 0.1]) * (np.arange(len(w)) < 40)
+        assert primal <= 0.5 * (near @ near) + sum(max(0.0, 1 - s * (near[k] @ v + near[-1])) for (k, v), s in zip(rows, y, strict=True)) + 1e-6
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than the sample holds at the usual quota: none is left out, and machines grow with their number."""
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    rng = random.Random(9)
+    langs = [f"x{k}" for k in range(14)] + ["en", "de"]
+    marks = {x: [rng.choice("abcdefgh") + rng.choice("ijklmnop") + rng.choice("qrstuvw") for _ in range(4)] for x in langs}
+    rows = [" ".join(rng.choice(marks[langs[i % 16]]) for _ in range(40)) for i in range(1600)]
+    docs = table(spark, rows, {i: langs[i % 16] for i in range(1600)}).repartition(5)
+    model = language_id.train(docs, F.lit(True))
+    assert sorted(x for f in model.families.values() for x in f) == sorted(langs) and model.table.shape[1] == 3 + 28 + 15 + 1
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert np.mean([got[i] == langs[i % 16] for i in got]) > 0.95
+    again = language_id.train(docs.repartition(3), F.lit(True))
+    assert (again.table == model.table).all()
+    twice = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3")).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    assert language_id.identify(twice, model).count() == 6
 
 
 # 7
@@ -483,6 +562,30 @@ def test_trees_learn_what_they_can(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in got]) > 0.97
 
 
+def test_compiled_trees_judge_like_the_model(spark):
+    """The expression against the learner's own predictions, and accuracy on rows that were not learned from."""
+    rng = random.Random(12)
+    rows = [(float(rng.random() < 0.5), rng.random(), rng.random(), float(rng.randrange(5))) for _ in range(900)]
+    rows = [(float((a > 0.4) == (c > 1)) if rng.random() < 0.95 else bad, a, b, c) for bad, a, b, c in rows]
+    df = spark.createDataFrame(rows, "bad double, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    model = url_filter.fit(df.limit(600), cols)
+    score = url_filter.compile_trees(model.toDebugString, list(model.treeWeights), cols)
+    got = model.transform(url_filter.vectors(df, cols)).withColumn("score", score).collect()
+    assert all((r.prediction == 1) == (r.score > 0) and abs(2 * r.score - (r.rawPrediction[1] - r.rawPrediction[0])) < 1e-9 for r in got)
+    assert np.mean([(r.score > 0) == (r.bad == 1) for r in got[600:]]) > 0.9
+
+
+def test_url_repeats_and_suffixes(spark):
+    """Suffix statistics of all labelled rows, sampled or not; rows that repeat, null ids, a very long URL, clashing columns."""
+    rows = [(i, f"http://h{i}.{'bad' if i % 2 else 'good'}/{i}") for i in range(400)]
+    more = [(None, rows[1][1]), (1, rows[1][1]), (900, "http://x.bad/" + "a/" * 100_000), (901, "http://x.good/zzz")]
+    pages = spark.createDataFrame(rows + more, "page_id long, url string").withColumn("bad", F.lit(0.5)).withColumn("_suffix", F.lit("s")).withColumn("doc_id", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels, rules=[], sample=60).collect()
+    assert len(got) == 404 and all(r.verdict == ("block" if r.host.endswith(".bad") else "allow") for r in got)
+
+
 # 10
 def test_quality_rules(spark, texts, tmp_path):
     more = texts + ["a b c " * 30 + "\nx y\nx y\n \n\nx y", "the and of " + "# " * 60, "x" * 30 + " y" * 70]
