@@ -116,3 +116,8 @@ def radius_join(points: DataFrame, centres: DataFrame, radius: float, unit: str
     pairs = own.join(asked.drop("_n"), ["_r", "_c"])
     d = distance(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"), unit)
     return pairs.withColumn("dist", d).where(F.col("dist") <= radius).drop("_r", "_c", "_n")
+
+
+def store(found: DataFrame, key: str) -> DataFrame:
+    """A search's result (member, dist) as a sorted set scored by distance."""
+    return found.select(F.lit(key).alias("key"), "member", F.round("dist", 4).alias("score"))

@@ -148,24 +148,42 @@ def cleared(doc: Column, path: str) -> Column:
     return F.when(kind == "array", "[]").when(kind == "object", "{}").when(kind == "number", "0").otherwise(get(doc, path))
 
 
+def _changed(d: str | None, p: str | None, change) -> str | None:
+    """The document after change(container, place) at a path whose parent is there; else, or where the document or the
+    path cannot be read, as it was."""
+    if d is None or p is None:
+        return d
+    try:
+        root, segments = json.loads(d), parse(p)
+        at = root
+        for s in segments[:-1]:
+            at = at[s]
+        last = segments[-1] if segments else None
+        if isinstance(at, dict) and isinstance(last, str) or isinstance(at, list) and isinstance(last, int) and -len(at) <= last < len(at):
+            change(at, last)
+            return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+    except (KeyError, IndexError, TypeError, ValueError):
+        pass
+    return d
+
+
 @F.pandas_udf(T.StringType())
 def set_path(doc: pd.Series, path: pd.Series, value: pd.Series) -> pd.Series:
-    """value (JSON text) put at any path whose parent is there; else the document as it was."""
+    """value (JSON text) put at any path whose parent is there; else, or if one of them is not JSON, the document as it was."""
 
-    def one(d: str | None, p: str, v: str) -> str | None:
-        if d is None:
-            return None
-        root, segments = json.loads(d), parse(p)
-        if not segments:
-            return v
-        at = root
+    def one(d: str | None, p: str | None, v: str | None) -> str | None:
         try:
-            for s in segments[:-1]:
-                at = at[s]
-            if isinstance(at, dict) and isinstance(segments[-1], str) or isinstance(at, list) and -len(at) <= segments[-1] < len(at):
-                at[segments[-1]] = json.loads(v)
-        except (KeyError, IndexError, TypeError):
-            pass
-        return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+            new = json.loads(v)
+        except (TypeError, ValueError):
+            return d
+        if d is not None and p is not None and not parse(p):
+            return v
+        return _changed(d, p, lambda at, last: at.__setitem__(last, new))
 
     return pd.Series([one(*x) for x in zip(doc, path, value, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def delete_path(doc: pd.Series, path: pd.Series) -> pd.Series:
+    """The document without what is at any path: a field or an element; as it was if there is nothing."""
+    return pd.Series([_changed(d, p, lambda at, last: at.__delitem__(last)) for d, p in zip(doc, path, strict=True)])

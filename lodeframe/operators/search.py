@@ -1,7 +1,8 @@
 """Full-text search: a tokeniser, postings, a query language compiled to one predicate, and grouped aggregation.
 
 Query language: words (all must match), a|b, "a phrase", pre* *fix *mid*, word%n (at most n edits), -not, ~optional,
-( ), @field:word, @field:(query), @tag:{a|b}, @number:[low high] with ( for open ends, @place:[lon lat radius unit].
+( ), @field:word, @field:(query), @tag:{a|b}, @number:[low high] with ( for open ends, @place:[lon lat radius unit],
+[KNN k @vector $name], [VECTOR_RANGE distance @vector $name].
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.operators import geo
+from lodeframe.operators import geo, vectors
 
 #: Words that are not indexed.
 STOP_WORDS = (
@@ -19,6 +20,11 @@ STOP_WORDS = (
 ).split()
 
 
+#: A node [KNN k @field $name] or [VECTOR_RANGE distance @field $name].
+VECTOR_NODE = re.compile(r"\[\s*(KNN|VECTOR_RANGE)\s+([0-9.]+)\s+@(\w+)\s+\$(\w+)\s*\]", re.I)
+DISTANCES = {"l2": vectors.l2, "cosine": vectors.cosine_distance, "ip": lambda a, b: -vectors.dot(a, b)}
+
+
 def tokens(text: Column) -> Column:
     """Words in order: lower case, split at what is neither letter nor digit, stop words left out."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
@@ -30,7 +36,7 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return words.groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
-def ranked_or(docs: DataFrame, doc: str, text: str, query: str, offset: int = 0, count: int = 10) -> DataFrame:
+def ranked_or(docs: DataFrame, doc: str, text: str, query: str, offset: int = 0, count: int | None = 10) -> DataFrame:
     """(doc, score): documents with any of the query's words, by the sum of their frequencies."""
     terms = [w for w in re.split(r"[\W_]+", query.lower()) if w and w not in STOP_WORDS]
     if not terms:
@@ -38,6 +44,8 @@ def ranked_or(docs: DataFrame, doc: str, text: str, query: str, offset: int = 0,
     else:
         hits = F.size(F.filter(tokens(F.col(text)), lambda w: w.isin(terms)))
         out = docs.select(F.col(doc).alias("doc"), hits.cast("double").alias("score")).where("score > 0")
+    if count is None:  # all of them, in no order
+        return out
     out = out.orderBy(F.col("score").desc(), "doc")
     return (out.offset(offset) if offset else out).limit(count)
 
@@ -96,6 +104,8 @@ class _Query:
             return self.over(within, lambda a: F.contains(F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" ")), F.lit(f" {' '.join(words)} ")))
         if kind == "word":
             return self.word(t.lower(), within)
+        if kind == "range" and (m := VECTOR_NODE.fullmatch(t)):
+            return self.vector(t, m)
         raise ValueError(f"query: {t!r} is out of place")
 
     def over(self, within: str | None, test) -> Column:
@@ -118,6 +128,22 @@ class _Query:
             return self.over(within, lambda a: F.exists(a, lambda x: F.endswith(x, F.lit(core))))
         return self.over(within, lambda a: F.array_contains(a, w))
 
+    def vector(self, t: str, m: re.Match) -> Column:
+        """Within a distance of a query's vector; or among its nearest, which `search` marks beforehand."""
+        if m[1].upper() == "KNN":
+            return F.col(f"_knn_{self.nearest.index(t)}")
+        return self.distance(m) <= float(m[2])
+
+    def distance(self, m: re.Match) -> Column:
+        kind = self.fields.get(m[3], "")
+        if not kind.startswith("vector") or m[4] not in self.params:
+            raise ValueError(f"query: there is no vector field {m[3]}, or no parameter {m[4]}")
+        return DISTANCES[kind.partition(" ")[2] or "l2"](F.col(m[3]), vectors.constant(self.params[m[4]]))
+
+    @property
+    def nearest(self) -> list[str]:
+        return [t for k, t in self.tokens if k == "range" and (m := VECTOR_NODE.fullmatch(t)) and m[1].upper() == "KNN"]
+
     def field(self, name: str) -> Column:
         if name not in self.fields:
             raise ValueError(f"query: there is no field {name}")
@@ -137,19 +163,50 @@ class _Query:
         return self.one(name)
 
 
-def search(docs: DataFrame, query: str, fields: dict[str, str]) -> DataFrame:
-    """Rows that match. fields: column -> text, tag, numeric or geo; a geo column is a struct of lon and lat."""
+def search(docs: DataFrame, query: str, fields: dict[str, str], params: dict[str, list[float]] | None = None, doc: str = "doc_id") -> DataFrame:
+    """Rows that match. fields: column -> text, tag, numeric, geo or vector; a geo column is a struct of lon and lat, a
+    vector one may name its distance: "vector cosine", "vector ip", else l2. params: the vectors that a query names."""
     named = docs
     for c, kind in fields.items():
         if kind == "text":
             named = named.withColumn(f"_t_{c}", tokens(F.col(c)))
     q = _Query(query, {f"_t_{c}" if kind == "text" else c: kind for c, kind in fields.items()})
+    q.params = params or {}
     alias = {c.lower(): f"_t_{c}" for c, kind in fields.items() if kind == "text"}
     q.tokens = [(k, f"@{alias[t[1:].lower()]}" if k == "field" and t[1:].lower() in alias else t) for k, t in q.tokens]
+    for i, t in enumerate(q.nearest):
+        m = VECTOR_NODE.fullmatch(t)
+        near = docs.select(F.col(doc), q.distance(m).alias("_d")).where("_d IS NOT NULL").orderBy("_d", doc).limit(int(m[2]))
+        near = near.select(F.col(doc), F.lit(True).alias("_near"))
+        # A query's own k rows.
+        named = named.join(F.broadcast(near), doc, "left").withColumn(f"_knn_{i}", F.coalesce("_near", F.lit(False))).drop("_near")
     where = q.either()
     if q.at != len(q.tokens):
         raise ValueError(f"query: {q.tokens[q.at][1]!r} is left over")
-    return named.where(where).drop(*[f"_t_{c}" for c, kind in fields.items() if kind == "text"])
+    return named.where(where).select(*docs.columns)
+
+
+def page(hits: DataFrame, keep: list[str], sort: tuple[str, bool] | None = None, offset: int = 0, count: int = 10, keys: tuple[str, list] | None = None,
+         between: tuple[str, float, float] | None = None) -> DataFrame:
+    """Options of a search: named columns of a page of the hits in an order (column, descending; ties by the kept
+    columns), among given keys (column, values) and a numeric range, and how many hits there are in all."""
+    if keys:
+        hits = hits.where(F.col(keys[0]).isin(keys[1]))
+    if between:
+        hits = hits.where(F.col(between[0]).between(between[1], between[2]))
+    total = hits.agg(F.count("*").alias("total"))
+    order = ([F.col(sort[0]).desc() if sort[1] else F.col(sort[0])] if sort else []) + keep
+    rows = hits.orderBy(*order)
+    rows = (rows.offset(offset) if offset else rows).limit(count).select(*keep)
+    return rows.join(F.broadcast(total))  # one row
+
+
+def find(index: DataFrame, terms: list[str], every: bool = True) -> DataFrame:
+    """(doc, score): documents with all (or any) of the terms, from postings (term, doc, tf) alone, by the sum of their
+    frequencies. On a table that is bucketed by term only the buckets of the terms are read."""
+    terms = sorted({t.lower() for t in terms})
+    hits = index.where(F.col("term").isin(terms)).groupBy("doc").agg(F.sum("tf").cast("double").alias("score"), F.count("*").alias("_n"))
+    return (hits.where(F.col("_n") == len(terms)) if every else hits).drop("_n")
 
 
 REDUCERS = {
@@ -188,7 +245,17 @@ def expand(query: str, synonyms: dict[str, list[str]]) -> str:
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = 60, count: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of two results (doc, score), each of which is a top list."""
-    w = Window.orderBy(F.col("score").desc(), "doc")  # over top lists, which are short
-    parts = [h.select("doc", (F.lit(1.0) / (k + F.row_number().over(w))).alias("part")) for h in (text_hits, vector_hits)]
-    return parts[0].unionByName(parts[1]).groupBy("doc").agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), "doc").limit(count)
+    """Reciprocal rank fusion of two whole results (doc, score), exact for the first `count`.
+
+    A document past place k + 2 * count in both results scores less than 2 / (2 * (k + count)), which the first `count` of
+    either reach alone. So these many of each are candidates; their places are counted, and nothing is sorted as a whole.
+    """
+    depth, both = k + 2 * count, []
+    tops = [h.orderBy(F.col("score").desc(), "doc").limit(depth).select("doc") for h in (text_hits, vector_hits)]
+    candidates = tops[0].union(tops[1]).distinct()
+    for hits in (text_hits, vector_hits):
+        mine = hits.join(F.broadcast(candidates), "doc").select("doc", "score")  # at most twice `depth`
+        asked = mine.select(F.col("doc").alias("_doc"), F.col("score").alias("_score"))
+        ahead = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("doc") <= F.col("_doc")))
+        both.append(hits.join(F.broadcast(asked), ahead).groupBy(F.col("_doc").alias("doc")).agg((F.lit(1.0) / (k + F.count("*"))).alias("part")))
+    return both[0].unionByName(both[1]).groupBy("doc").agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), "doc").limit(count)

@@ -79,6 +79,14 @@ def sample(sets: DataFrame, n: int, seed: str) -> DataFrame:
     return sets.distinct().withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
 
 
+def sample_with_repeats(sets: DataFrame, n: int, seed: str) -> DataFrame:
+    """(key, draw, member): n draws of each key with repeats, each by a hash of seed, key and draw."""
+    place = sets.withColumn("_i", F.row_number().over(Window.partitionBy("key").orderBy("member")) - 1)
+    sizes = sets.groupBy("key").agg(F.count("*").alias("_n")).withColumn("draw", F.explode(F.array(*[F.lit(i) for i in range(n)])))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("key").cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return sizes.withColumn("_i", h % F.col("_n")).join(place, ["key", "_i"]).select("key", "draw", "member")
+
+
 def pop(sets: DataFrame, n: int, seed: str) -> DataFrame:
     """What is left once n drawn members of each key are gone."""
     return remove(sets.distinct(), sample(sets, n, seed))

@@ -85,6 +85,27 @@ def bloom_exists(sketch: DataFrame, probes: DataFrame, item: str, capacity: int,
     return probes.join(F.broadcast(sketch)).withColumn("maybe", there).drop("words")
 
 
+def bloom_info(sketch: DataFrame, capacity: int, error: float) -> DataFrame:
+    """Size of a filter, its set bits, and how many items these speak for."""
+    bits, hashes = bloom_size(capacity, error)
+    ones = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    out = sketch.select(ones.alias("set_bits"))
+    card = F.round(-bits / hashes * F.log(1 - F.col("set_bits") / float(bits))).cast("long")
+    return out.select(*[F.lit(x).cast("long").alias(n) for n, x in (("capacity", capacity), ("bits", bits), ("hashes", hashes))], "set_bits", card.alias("card"))
+
+
+def bloom_dump(sketch: DataFrame, words: int = 1024) -> DataFrame:
+    """(i, chunk): the filter in pieces of so many words, as a table that can be kept."""
+    n = F.ceil(F.size("words") / words).cast("int")
+    return sketch.select(F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "words").select("i", F.expr(f"slice(words, i * {words} + 1, {words})").alias("chunk"))
+
+
+def bloom_load(chunks: DataFrame) -> DataFrame:
+    """The filter of its pieces, in whatever order they come; of a piece that comes twice one counts."""
+    once = chunks.groupBy("i").agg(F.first("chunk").alias("chunk"))
+    return once.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "chunk"))), lambda x: x["chunk"])).alias("words"))  # a filter's fixed size
+
+
 # Multisets, of which a cuckoo filter answers the same questions approximately.
 def bag(rows: DataFrame, item: str) -> DataFrame:
     return rows.groupBy(item).agg(F.count("*").alias("n"))
@@ -95,6 +116,16 @@ def bag_delete(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.exceptAll(gone)
 
 
+def bag_add_new(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows with those of more that they lack, each once."""
+    return rows.unionByName(more.distinct().join(rows, more.columns, "left_anti"))
+
+
+def bag_exists(rows: DataFrame, probes: DataFrame, item: str) -> DataFrame:
+    there = rows.select(item).distinct().withColumn("_there", F.lit(True))
+    return probes.join(there, item, "left").select(item, F.coalesce("_there", F.lit(False)).alias("there"))
+
+
 # Heavy hitters.
 def top(rows: DataFrame, item: str, k: int, weight: Column | None = None) -> DataFrame:
     n = F.count("*") if weight is None else F.sum(weight)
@@ -111,6 +142,30 @@ def quantiles(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
     return rows.agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("q"))
 
 
+def quantile_sketch(rows: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
+    """(key, bucket, n): counts of positive values in buckets whose bounds grow by (1 + alpha) / (1 - alpha), so that a
+    quantile is off by a share of alpha at most. Their number follows the range of the values, not how many there are; they
+    can be kept as a table, and merging is adding."""
+    step = math.log(1 + alpha) - math.log(1 - alpha)
+    at = F.ceil(F.round(F.log(F.col(value).cast("double")) / step, 9)).cast("long")
+    return rows.where(F.col(value) > 0).groupBy(F.col(key).alias("key"), at.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def sketch_merge(sketches: list[DataFrame]) -> DataFrame:
+    out = sketches[0]
+    for s in sketches[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("key", "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketch: DataFrame, qs: list[float], alpha: float) -> DataFrame:
+    """(key, q, value) of sketches, by windows over their few buckets."""
+    step, w = math.log(1 + alpha) - math.log(1 - alpha), Window.partitionBy("key")
+    c = sketch.withColumn("_upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("_total", F.sum("n").over(w))
+    c = c.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).where(F.col("_upto") >= F.ceil(F.col("q") * F.col("_total")))
+    return c.groupBy("key", "q").agg(F.min("bucket").alias("_b")).select("key", "q", (2 * F.exp(F.col("_b") * step) / (math.exp(step) + 1)).alias("value"))
+
+
 def quantiles_approx(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
     return rows.agg(F.kll_sketch_agg_double(value).alias("_s")).select(F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(q) for q in qs])).alias("q"))
 

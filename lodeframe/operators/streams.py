@@ -130,6 +130,41 @@ def group_info(stream: DataFrame, groups: DataFrame, pending: DataFrame) -> Data
         "key", "group", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("consumers", "pending", "lag")])
 
 
+def set_last_id(heads: DataFrame, more: DataFrame) -> DataFrame:
+    """heads (key, ms, seq): the last id given out, moved to that of more where it has the key; never behind an entry."""
+    to = more.select("key", F.col("ms").alias("_m"), F.col("seq").alias("_s"))
+    both = heads.join(to, "key", "left")
+    ahead = (F.col("_m") > F.col("ms")) | ((F.col("_m") == F.col("ms")) & (F.col("_s") > F.col("seq")))
+    go = F.coalesce(ahead, F.lit(False))
+    return both.select("key", F.when(go, F.col("_m")).otherwise(F.col("ms")).alias("ms"), F.when(go, F.col("_s")).otherwise(F.col("seq")).alias("seq"))
+
+
+def create_groups(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """groups with those of more (key, group, ms, seq) that are not there yet."""
+    return groups.unionByName(more.select(groups.columns).join(groups.select("key", "group"), ["key", "group"], "left_anti"))
+
+
+def set_group_ids(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """groups that read on from the ids of more, forwards or backwards."""
+    to = more.select("key", "group", F.col("ms").alias("_m"), F.col("seq").alias("_s"))
+    return groups.join(to, ["key", "group"], "left").select("key", "group", F.coalesce("_m", "ms").alias("ms"), F.coalesce("_s", "seq").alias("seq"))
+
+
+def destroy_groups(groups: DataFrame, pending: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, pending) without the groups gone (key, group)."""
+    return tuple(x.join(gone.select("key", "group"), ["key", "group"], "left_anti") for x in (groups, pending))
+
+
+def delete_consumer(pending: DataFrame, consumer: str) -> DataFrame:
+    """pending without what a consumer holds."""
+    return pending.where(F.col("consumer") != consumer)
+
+
+def consumer_info(pending: DataFrame, now: int) -> DataFrame:
+    """Per group and consumer: pending entries, and how long ago it was given one."""
+    return pending.groupBy("key", "group", "consumer").agg(F.count("*").alias("pending"), (F.lit(now) - F.max("delivered_ms")).alias("idle_ms"))
+
+
 def stream_info(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count("*").alias("length"), F.min(id_of()).alias("_a"), F.max(id_of()).alias("_b")).select(
         "key", "length", F.col("_a.ms").alias("first_ms"), F.col("_b.ms").alias("last_ms"))

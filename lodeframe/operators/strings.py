@@ -74,6 +74,47 @@ def set_all_if_none(table: DataFrame, more: DataFrame) -> DataFrame:
     return table.unionByName(more.join(gate, ~F.col("_clash")).drop("_clash"))
 
 
+#: Tests of a conditional write: what the old value (null where there is none) and the given one must be.
+CONDITIONS = {
+    "always": lambda old, given: F.lit(True),
+    "nx": lambda old, given: old.isNull(),
+    "xx": lambda old, given: old.isNotNull(),
+    "ifeq": lambda old, given: old == given,
+    "ifne": lambda old, given: old.isNull() | (old != given),
+    "ifdeq": lambda old, given: digest(old) == given,
+    "ifdne": lambda old, given: old.isNull() | (digest(old) != given),
+}
+
+
+def write(table: DataFrame, more: DataFrame, when: str = "always", keep_ttl: bool = False) -> DataFrame:
+    """(key, value, expire_at, old) after the writes of more (key, value, expire_at, and `given` where the condition compares),
+    one for a key. Keys whose condition fails stay as they were; a write replaces the expiry unless it is kept."""
+    new = more.select("key", F.col("value").alias("_value"), F.col("expire_at").alias("_expire"), (F.col("given") if "given" in more.columns else F.lit(None).cast("string")).alias("_given"), F.lit(True).alias("_new"))
+    both = table.select("key", F.col("value").alias("old"), F.col("expire_at").alias("_old_expire")).join(new, "key", "full")
+    go = F.coalesce("_new", F.lit(False)) & F.coalesce(CONDITIONS[when](F.col("old"), F.col("_given")), F.lit(False))
+    expire = F.when(go & F.lit(not keep_ttl), F.col("_expire")).otherwise(F.coalesce("_old_expire", F.when(go, F.col("_expire"))))
+    return both.select("key", F.when(go, F.col("_value")).otherwise(F.col("old")).alias("value"), expire.alias("expire_at"), "old").where("value IS NOT NULL")
+
+
+def write_all_if(table: DataFrame, more: DataFrame, when: str = "nx") -> DataFrame:
+    """All writes of more (key, value, expire_at), if none of their keys is there ("nx") or all are ("xx"); else none."""
+    there = more.join(table.select("key"), "key", "left_semi").agg(F.count("*").alias("_there"))
+    gate = F.broadcast(there.crossJoin(more.agg(F.count("*").alias("_all"))).select(((F.col("_there") == 0) if when == "nx" else (F.col("_there") == F.col("_all"))).alias("_go")))  # one row
+    return write(table, more.join(gate, F.col("_go")).drop("_go")).drop("old")
+
+
+def get_and_delete(table: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values of the keys, the table without them)."""
+    return table.join(keys.select("key"), "key", "left_semi"), table.join(keys.select("key"), "key", "left_anti")
+
+
+def get_and_expire(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The table with new expiries of keys (key, expire_at), null to persist; keys that it lacks are left out."""
+    named = keys.select("key", F.col("expire_at").alias("_new"), F.lit(True).alias("_named"))
+    both = table.join(named, "key", "left")
+    return both.select("key", "value", F.when(F.col("_named"), F.col("_new")).otherwise(F.col("expire_at")).alias("expire_at"), F.coalesce("_named", F.lit(False)).alias("read"))
+
+
 def multi_get(table: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (pos, key) with their values, null where there is none."""
     return keys.join(table.select("key", "value"), "key", "left")
@@ -88,30 +129,48 @@ def digest(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.xxhash64(value)), 16, "0"))
 
 
-def _lcs(a: str, b: str) -> tuple[str, list[list[int]]]:
-    """A longest common subsequence and its runs as [a from, a to, b from, b to, length], the last run first.
-
-    Lengths come from rows of a dynamic program; its table is kept for the walk back.
-    """
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x)):
-        best = np.where(y == x[i], table[i, :-1] + 1, table[i, 1:])
-        table[i + 1, 1:] = np.maximum.accumulate(best)
-    i, j, out, runs = len(x), len(y), [], []
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            out.append(a[i - 1])
-            if runs and runs[-1][0] == i and runs[-1][2] == j:
-                runs[-1][0], runs[-1][2], runs[-1][4] = i - 1, j - 1, runs[-1][4] + 1
-            else:
-                runs.append([i - 1, i - 1, j - 1, j - 1, 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] > table[i, j - 1]:
-            i -= 1
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of a longest common subsequence of x with each beginning of y, by one row of the dynamic program."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for c in x:
+        row[1:] = np.maximum.accumulate(np.where(y == c, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _matches(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """Places (in x, in y) of a longest common subsequence, by halving x: memory grows with y alone. i, j: where they start."""
+    out, todo = [], [(x, y, i, j)]
+    while todo:
+        x, y, i, j = todo.pop()
+        if not len(x) or not len(y):
+            continue
+        if len(x) == 1:
+            at = np.flatnonzero(y == x[0])
+            out += [(i, j + int(at[-1]))] if len(at) else []
+            continue
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        todo += [(x[:half], y[:cut], i, j), (x[half:], y[cut:], i + half, j + cut)]
+    return sorted(out)
+
+
+def _lcs(a: str, b: str, least: int = 0) -> tuple[str, list[list[int]]]:
+    """A longest common subsequence and its runs of `least` at least as [a from, a to, b from, b to, length], the last first."""
+    x, y = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places, runs = _matches(x, y, 0, 0), []
+    for i, j in places:
+        if runs and (runs[-1][1], runs[-1][3]) == (i - 1, j - 1):
+            runs[-1][1], runs[-1][3], runs[-1][4] = i, j, runs[-1][4] + 1
         else:
-            j -= 1
-    return "".join(reversed(out)), runs
+            runs.append([i, i, j, j, 1])
+    return "".join(a[i] for i, _ in places), [r for r in reversed(runs) if r[4] >= least]
+
+
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of a longest common subsequence."""
+    to = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return pd.Series([None if p is None or q is None else int(_lengths(to(p), to(q))[-1]) for p, q in zip(a, b, strict=True)], dtype="Int32")
 
 
 @F.pandas_udf(T.StringType())
@@ -120,7 +179,11 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else _lcs(p, q)[0] for p, q in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def lcs_runs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Where the runs of that subsequence lie."""
-    return pd.Series([None if p is None or q is None else _lcs(p, q)[1] for p, q in zip(a, b, strict=True)])
+def lcs_runs(a: Column | str, b: Column | str, least: int = 0) -> Column:
+    """Where the runs of that subsequence lie that have `least` characters at least."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def runs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else _lcs(p, q, least)[1] for p, q in zip(a, b, strict=True)])
+
+    return runs(a, b)

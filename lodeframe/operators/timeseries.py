@@ -112,3 +112,30 @@ def reduce_groups(samples: DataFrame, meta: DataFrame, label: str, ms: int, kind
     """Series of one label value reduced to one series: (group, ts_ms, value)."""
     named = samples.join(meta.select("key", F.col("labels")[label].alias("_g")), "key").select(F.col("_g").alias("key"), "ts_ms", "value")
     return aggregate(named, ms, kind).withColumnRenamed("key", "group")
+
+
+# Series as rows (key, labels map, retention_ms, duplicates).
+DUPLICATES = ("block", "first", "last", "min", "max", "sum")
+
+
+def create(series: DataFrame, more: DataFrame) -> DataFrame:
+    """series with those of more that are not there yet."""
+    return series.unionByName(more.select(series.columns).join(series.select("key"), "key", "left_anti"))
+
+
+def alter(series: DataFrame, changes: DataFrame) -> DataFrame:
+    """series with the values of changes (same columns), of which nulls change nothing."""
+    new = changes.select("key", *[F.col(c).alias(f"_{c}") for c in series.columns if c != "key"])
+    return series.join(new, "key", "left").select(*[F.col(c) if c == "key" else F.coalesce(f"_{c}", c).alias(c) for c in series.columns])
+
+
+def delete_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """rules (source, target, ms, kind) without those from one series to another."""
+    return rules.join(gone.select("source", "target"), ["source", "target"], "left_anti")
+
+
+def retain_each(samples: DataFrame, series: DataFrame) -> DataFrame:
+    """Samples within the retention of their series, counted from its latest; all where it is null or 0."""
+    ends = samples.groupBy("key").agg(F.max("ts_ms").alias("_end")).join(series.select("key", "retention_ms"), "key", "left")
+    ends = ends.select("key", F.when(F.col("retention_ms") > 0, F.col("_end") - F.col("retention_ms")).alias("_cut"))
+    return samples.join(ends, "key").where(F.col("_cut").isNull() | (F.col("ts_ms") >= F.col("_cut"))).drop("_cut")

@@ -1,18 +1,23 @@
-"""Vector sets as rows (element, embedding array<float>, attrs): exact similarity searches that stay in the JVM.
+"""Vector sets as rows (element, embedding array<float>, attrs): exact similarity searches.
 
 Distances are sums over zipped arrays in double precision. One query is a constant array in a map-only projection and
-an ordered limit. A batch of queries is looked up from a table whose size is checked; larger ones go in blocks.
+an ordered limit. A batch of queries goes in blocks that meet blocks of vectors as matrix products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators.filterexpr import compile_filter
 
-#: Queries broadcast at once.
-BATCH = 2_000
+#: Queries and vectors of a block.
+QUERIES, VECTORS = 1_024, 4_096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,20 +64,55 @@ def vector_of(vectors: DataFrame, element) -> list[float]:
     return row[0]
 
 
-def batch(vectors: DataFrame, queries: DataFrame, k: int, distance=cosine_distance) -> DataFrame:
-    """queries (query, q): (query, element, distance, rank) of the k nearest of each. One block of queries is broadcast
-    at a time; the limit per query works within each task before anything is shuffled."""
-    n = queries.count()
+def _packed(rows: DataFrame, element: str, vector: str, size: int) -> DataFrame:
+    """(ids, x): rows in blocks of at most `size`, their vectors as doubles; rows without a vector take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column(1)))
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                x = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([x.tobytes()])], ["ids", "x"])
+
+    return rows.select(F.col(element).cast("long"), vector).mapInArrow(run, "ids binary, x binary")
+
+
+def distances(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """Rows of q by rows of x; cosine distance is 1 where a vector is zero."""
+    if kind == "ip":
+        return -(q @ x.T)
+    if kind == "l2":
+        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T), 0))
+    n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+    return np.where(n == 0, 1.0, np.clip(1 - q @ x.T / np.where(n == 0, 1.0, n), 0.0, 2.0))
+
+
+def batch(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "cosine") -> DataFrame:
+    """queries (query, q): (query, element, distance, rank) of the k nearest of each, exactly. Distances that agree to ten
+    digits are ties and go by element. Blocks of queries meet blocks of vectors as matrix products, in one pass; only the
+    best of each block are put in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, q, xi, x in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                qi, xi = np.frombuffer(qi, np.int64), np.frombuffer(xi, np.int64)
+                q, x = np.frombuffer(q).reshape(len(qi), -1), np.frombuffer(x).reshape(len(xi), -1)
+                d = np.round(distances(q, x, kind), 10)
+                d[qi[:, None] == xi[None, :]] = np.inf
+                low = np.partition(d, min(k, len(xi)) - 1, axis=1)[:, min(k, len(xi)) - 1]
+                at, on = np.nonzero((d <= low[:, None]) & (d < np.inf))
+                order = np.lexsort((xi[on], d[at, on], at))
+                at, on = at[order], on[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, on = at[place < k], on[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(xi[on]), pa.array(d[at, on])], ["query", "element", "distance"])
+
+    asked = _packed(queries, "query", "q", QUERIES).toDF("qi", "q")
+    pairs = asked.crossJoin(_packed(vectors, "element", "embedding", VECTORS))  # blocks, of a stated query set and of all rows
     w = Window.partitionBy("query").orderBy("distance", "element")
-    parts = -(-n // BATCH)
-    out = None
-    for i in range(max(1, parts)):
-        block = queries if parts <= 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)
-        pairs = vectors.join(F.broadcast(block), F.col("query") != F.col("element"))
-        near = pairs.select("query", "element", distance(F.col("q"), F.col("embedding")).alias("distance"))
-        near = near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        out = near if out is None else out.unionByName(near)
-    return out
+    near = pairs.select("qi", "q", "ids", "x").mapInArrow(run, "query long, element long, distance double")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def reduce_dimension(embedding: Column, size: int, dim: int, seed: int = 1) -> Column:
@@ -97,3 +137,28 @@ def binary(embedding: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d)).cast("long")
+
+
+def upsert(vectors: DataFrame, more: DataFrame) -> DataFrame:
+    """vectors with the rows of more, which replace those of the same element; vectors of another length are refused."""
+    dim = vectors.agg(F.max(F.size("embedding")).alias("_dim"))  # one row
+    fits = more.join(F.broadcast(dim), F.col("_dim").isNull() | (F.size("embedding") == F.col("_dim"))).select(*more.columns)
+    return vectors.join(fits.select("element"), "element", "left_anti").unionByName(fits)
+
+
+def is_member(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (element) with whether the set has it."""
+    there = vectors.select("element", F.lit(True).alias("_there"))
+    return probes.join(there, "element", "left").select("element", F.coalesce("_there", F.lit(False)).alias("is_member"))
+
+
+def info(vectors: DataFrame) -> DataFrame:
+    """(size, dim, with_attrs) of a set."""
+    return vectors.agg(F.count("*").alias("size"), F.max(F.size("embedding")).cast("long").alias("dim"), F.count("attrs").alias("with_attrs"))
+
+
+def raw(vectors: DataFrame) -> DataFrame:
+    """(element, kind, data, norm): components divided by the norm, as they are compared, and the norm to restore them."""
+    n = norm(F.col("embedding"))
+    unit = F.transform("embedding", lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+    return vectors.select("element", F.lit("f32").alias("kind"), unit.alias("data"), n.alias("norm"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeframe.operators import jsondocs as js
 from lodeframe.operators import search as ft
 from lodeframe.operators import sketches as sk
+from lodeframe.operators import vectors
 from lodeframe.plans.registry import Registry
 from lodeframe.session import load
 
@@ -82,7 +83,7 @@ _ft("ft_not", "una -osque", f"{HAS('una')} AND NOT {HAS('osque')}")
 _ft("ft_optional", "una ~osque", HAS("una"))
 _ft("ft_phrase", '"que en"', "contains(' ' || array_to_string(ws, ' ') || ' ', ' que en ')")
 _ft("ft_prefix", "worth*", "len(list_filter(ws, lambda w: starts_with(w, 'worth'))) > 0")
-_ft("ft_suffix", "*ggust*  -*ßkeit", "len(list_filter(ws, lambda w: contains(w, 'ggust'))) > 0 AND len(list_filter(ws, lambda w: suffix(w, 'ßkeit'))) = 0")
+_ft("ft_suffix", "*eaux -*lles", "len(list_filter(ws, lambda w: suffix(w, 'eaux'))) > 0 AND len(list_filter(ws, lambda w: suffix(w, 'lles'))) = 0")
 _ft("ft_contains", "*isgus*", "len(list_filter(ws, lambda w: contains(w, 'isgus'))) > 0")
 _ft("ft_fuzzy", "idiots%1", "len(list_filter(ws, lambda w: levenshtein(w, 'idiots') <= 1)) > 0")
 _ft("ft_tag", "@lang:{de|FR} @source:{src1|src2}", "lang IN ('de', 'fr') AND source IN ('src1', 'src2')")
@@ -100,19 +101,38 @@ _q("ft_aggregate_multi", lambda k, d: ft.aggregate(ft.search(_texts(k, d), "-idi
 _q("ft_tagvals", lambda k, d: ft.tag_values(_texts(k, d), "source"), "SELECT DISTINCT lower(source) AS value FROM documents")
 _vocab = lambda k, d: ft.postings(_texts(k, d), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("n"))
 _q("ft_spellcheck", lambda k, d: ft.spellcheck(_vocab(k, d), "clowm", 2), f"WITH {T}, p AS (SELECT unnest(ws) AS term FROM t) SELECT term, count(*) AS n, levenshtein(term, 'clowm') AS edits FROM p WHERE levenshtein(term, 'clowm') <= 2 AND term <> 'clowm' GROUP BY 1")
-_q("ft_synonyms", lambda k, d: ft.search(_texts(k, d), ft.expand("moron una", {"g": ["idiot", "moron"]}), FIELDS).select("doc_id"), f"WITH {T} SELECT doc_id FROM t WHERE ({HAS('idiot')} OR {HAS('moron')}) AND {HAS('una')}")
+_q("ft_synonyms", lambda k, d: ft.search(_texts(k, d), ft.expand("una que", {"g": ["der", "una", "onti"]}), FIELDS).select("doc_id"), f"WITH {T} SELECT doc_id FROM t WHERE ({HAS('der')} OR {HAS('una')} OR {HAS('onti')}) AND {HAS('que')}")
 
 
-def _hybrid(k, d):
-    text = ft.ranked_or(_texts(k, d), "doc_id", "text", "idiot clown", 0, 50)
-    near = load(k, d, "embeddings").select(F.col("vec_id").alias("doc"), F.element_at("embedding", 1).cast("double").alias("score")).orderBy(F.col("score").desc(), "doc").limit(50)
-    return ft.hybrid(text, near).withColumn("score", F.round("score", 9))
+def _similar(k, d):
+    v = load(k, d, "embeddings").select(F.col("vec_id").alias("element"), "embedding")
+    return v.select(F.col("element").alias("doc"), F.round(vectors.cosine_distance(F.col("embedding"), vectors.constant(vectors.vector_of(v, 3))), 9).alias("dist"))
 
 
-_q("ft_hybrid", _hybrid, f"""WITH {T}, a AS (SELECT doc_id AS doc, len(list_filter(ws, lambda w: w IN ('idiot', 'clown')))::DOUBLE AS score FROM t WHERE score > 0 ORDER BY score DESC, doc LIMIT 50),
-   b AS (SELECT vec_id AS doc, embedding[1]::DOUBLE AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50), u AS (SELECT doc, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc)) AS part FROM a UNION ALL SELECT doc, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc)) FROM b)
+_q("ft_hybrid", lambda k, d: ft.hybrid(ft.ranked_or(_texts(k, d), "doc_id", "text", "idiot clown onti", 0, None), _similar(k, d).select("doc", (1 - F.col("dist")).alias("score"))).withColumn("score", F.round("score", 9)),
+   f"""WITH {T}, a AS (SELECT doc_id AS doc, len(list_filter(ws, lambda w: w IN ('idiot', 'clown', 'onti')))::DOUBLE AS score FROM t WHERE score > 0),
+   q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 3), b AS (SELECT vec_id AS doc, 1 - round(1.0 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score FROM embeddings, q),
+   u AS (SELECT doc, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc)) AS part FROM a UNION ALL SELECT doc, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc)) FROM b)
    SELECT doc, round(sum(part)::DOUBLE, 9) AS score FROM u GROUP BY 1 ORDER BY sum(part) DESC, doc LIMIT 10""")
 
+
+def _with_vectors(k, d):
+    return _texts(k, d).join(load(k, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
+
+
+def _three(k, d):
+    return {"v": vectors.vector_of(load(k, d, "embeddings").select(F.col("vec_id").alias("element"), "embedding"), 3)}
+
+
+VEC = "w AS (SELECT t.*, list_distance(embedding::DOUBLE[], q) AS far FROM t JOIN embeddings ON doc_id = vec_id, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 3))"
+_vf = FIELDS | {"vec": "vector"}
+_q("ft_knn", lambda k, d: ft.search(_with_vectors(k, d), "[KNN 25 @vec $v] -@lang:{de}", _vf, _three(k, d)).select("doc_id"), f"WITH {T}, {VEC} SELECT doc_id FROM (SELECT * FROM w ORDER BY far, doc_id LIMIT 25) WHERE lang <> 'de'")
+_q("ft_vector_range", lambda k, d: ft.search(_with_vectors(k, d), "@lang:{en} [VECTOR_RANGE 1.2 @vec $v]", _vf, _three(k, d)).select("doc_id"), f"WITH {T}, {VEC} SELECT doc_id FROM w WHERE lang = 'en' AND far <= 1.2")
+_q("ft_page", lambda k, d: ft.page(ft.search(_texts(k, d), "onti", FIELDS), ["doc_id", "lang"], ("n_chars", True), 3, 7, None, ("n_chars", 100, 5000)),
+   f"WITH {T}, h AS (SELECT * FROM t WHERE {HAS('onti')} AND n_chars BETWEEN 100 AND 5000) SELECT doc_id, lang, (SELECT count(*) FROM h) AS total FROM h ORDER BY n_chars DESC, doc_id, lang LIMIT 7 OFFSET 3")
+_q("ft_inkeys", lambda k, d: ft.page(ft.search(_texts(k, d), "onti", FIELDS), ["doc_id"], None, 0, 10, ("doc_id", list(range(40)))), f"WITH {T}, h AS (SELECT * FROM t WHERE {HAS('onti')} AND doc_id < 40) SELECT doc_id, (SELECT count(*) FROM h) AS total FROM h ORDER BY doc_id LIMIT 10")
+_q("ft_postings_and", lambda k, d: ft.find(ft.postings(_texts(k, d), "doc_id", "text"), ["onti", "ea"]), f"WITH {T} SELECT doc_id AS doc, len(list_filter(ws, lambda w: w IN ('onti', 'ea')))::DOUBLE AS score FROM t WHERE {HAS('onti')} AND {HAS('ea')}")
+
 _li = lambda k, d: load(k, d, "lineitem")
 W, H = 2000, 5
 HASH = lambda x, s: f"('0x' || substr(md5('{s}:' || {x}), 1, 8))::BIGINT"
@@ -153,3 +173,26 @@ def _hll(k, d):
 _q("hll_count", _hll, "SELECT event_type AS key, true AS ok FROM events GROUP BY 1")
 _q("hll_merge", lambda k, d: (lambda e: sk.hll_count(sk.hll_merge(sk.hll(e, "event_type", "user_id"))).join(e.agg(F.count_distinct("user_id").alias("m"))).select((F.abs(F.col("n") - F.col("m")) <= F.greatest(F.lit(2.0), 0.025 * F.col("m"))).alias("ok")))(load(k, d, "events")), "SELECT true AS ok")
 _q("kll_quantile", lambda k, d: (lambda li: li.select("l_quantity").join(sk.quantiles_approx(li, "l_quantity", [0.5]).select(F.element_at("q", 1).alias("x"))).agg((F.abs(F.avg((F.col("l_quantity") < F.col("x")).cast("double")) - 0.5) < 0.05).alias("ok")))(_li(k, d)), "SELECT true AS ok")
+
+ALPHA = 0.01
+G = f"(ln(1 + {ALPHA}) - ln(1 - {ALPHA}))"
+DD = f"d AS (SELECT l_returnflag AS key, CAST(ceil(round(ln(l_extendedprice::DOUBLE) / {G}, 9)) AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+_dd = lambda k, d: sk.quantile_sketch(_li(k, d), "l_returnflag", "l_extendedprice", ALPHA)
+_q("td_sketch", _dd, f"WITH {DD} SELECT * FROM d")
+_q("td_merge", lambda k, d: sk.sketch_quantiles(sk.sketch_merge([_dd(k, d).withColumn("key", F.lit("all"))]), [0.1, 0.5, 0.99], ALPHA).withColumn("value", F.round("value", 4)),
+   f"WITH {DD}, m AS (SELECT bucket, sum(n) AS n FROM d GROUP BY 1), c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM m) SELECT 'all' AS key, q, round(2 * exp(min(bucket) * {G}) / (exp({G}) + 1), 4) AS value FROM c, (SELECT unnest([0.1, 0.5, 0.99]::DOUBLE[]) AS q) WHERE upto >= ceil(q * total) GROUP BY q")
+_q("td_info", lambda k, d: _dd(k, d).groupBy("key").agg(F.sum("n").alias("observations"), F.count("*").alias("buckets")), f"WITH {DD} SELECT key, CAST(sum(n) AS BIGINT) AS observations, count(*) AS buckets FROM d GROUP BY 1")
+_q("td_merge_error", lambda k, d: sk.sketch_quantiles(sk.sketch_merge([_dd(k, d)]), [0.5], ALPHA).join(_li(k, d).groupBy(F.col("l_returnflag").alias("key")).agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("m")), "key").select("key", (F.abs(F.col("value") / F.col("m") - 1) <= 2 * ALPHA).alias("ok")),
+   "SELECT DISTINCT l_returnflag AS key, true AS ok FROM lineitem")
+_bf = lambda k, d: sk.bloom(load(k, d, "orders").where("o_orderstatus = 'F'"), "o_custkey", CAP, ERR)
+SET = f"s AS (SELECT DISTINCT unnest({PL('o_custkey')}) AS b FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'))"
+_q("bloom_info", lambda k, d: sk.bloom_info(_bf(k, d), CAP, ERR), f"WITH {SET} SELECT {CAP}::BIGINT AS capacity, {BITS}::BIGINT AS bits, {K}::BIGINT AS hashes, count(*) AS set_bits, CAST(round(-{BITS} / {K}::DOUBLE * ln(1 - count(*) / {BITS}::DOUBLE)) AS BIGINT) AS card FROM s")
+_q("bloom_dump", lambda k, d: sk.bloom_exists(sk.bloom_load(sk.bloom_dump(_bf(k, d), 16)), load(k, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", CAP, ERR),
+   f"WITH {SET}, p AS (SELECT c_custkey, unnest({PL('c_custkey')}) AS b FROM customer) SELECT c_custkey AS o_custkey, bool_and(b IN (SELECT b FROM s)) AS maybe FROM p GROUP BY 1")
+_q("bag_addnx", lambda k, d: sk.bag(sk.bag_add_new(_li(k, d).where("l_suppkey <= 40").select("l_suppkey"), load(k, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))), "l_suppkey"),
+   "SELECT l_suppkey, count(*) AS n FROM (SELECT l_suppkey FROM lineitem WHERE l_suppkey <= 40 UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey <= 40)) GROUP BY 1")
+_q("bag_exists", lambda k, d: sk.bag_exists(_li(k, d).where("l_suppkey <= 40"), load(k, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey"), "SELECT s_suppkey AS l_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey <= 40) AS there FROM supplier")
+_q("bag_info", lambda k, d: sk.bag(_li(k, d), "l_suppkey").agg(F.sum("n").alias("items"), F.count("*").alias("kinds")), "SELECT count(*) AS items, count(DISTINCT l_suppkey) AS kinds FROM lineitem")
+_q("topk_info", lambda k, d: sk.top(_li(k, d), "l_partkey", 20).agg(F.lit(20).cast("long").alias("k"), F.count("*").alias("held"), F.min("n").alias("least")), "SELECT 20::BIGINT AS k, count(*) AS held, min(n) AS least FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20)")
+_j("json_del_path", lambda: F.concat_ws(" ", js.get(js.delete_path("doc", F.lit("$.nest.deep.price")), "$.nest.deep"), js.get(js.delete_path("doc", F.lit("$.nums[1]")), "$.nums")), "'{\"large\":' || (p_size > 25)::VARCHAR || '} [' || p_size || ',' || p_size + 1 || ']'")
+_j("json_debug_memory", lambda: F.octet_length(js.get(D(), "$.name")).cast("long"), "strlen(p_name)")

@@ -53,9 +53,40 @@ _q("str_setnx", lambda k, d: strings.set_if_absent(_names(k, d).where("key < 'Cu
 _q("str_msetnx", lambda k, d: strings.set_all_if_none(_names(k, d), _names(k, d).limit(0).unionByName(k.createDataFrame([("a", "1"), ("Customer#000000001", "2")], "key string, value string"))), f"WITH {N} SELECT * FROM n")
 _q("str_delex", lambda k, d: strings.compare_and_delete(_names(k, d), F.col("value") == "BUILDING"), f"WITH {N} SELECT * FROM n WHERE value <> 'BUILDING'")
 _q("str_digest", lambda k, d: _names(k, d).select("key", strings.digest(F.col("value")).alias("digest")))
+_q("str_lcs_length", lambda k, d: load(k, d, "part").select("p_partkey", strings.lcs_length(F.col("p_brand"), F.lit("Brand#99")).alias("length")), "SELECT p_partkey, (6 + CASE WHEN p_brand LIKE '%#99' THEN 2 WHEN p_brand LIKE '%9%' THEN 1 ELSE 0 END)::INTEGER AS length FROM part")
 _q("str_lcs", lambda k, d: load(k, d, "part").select("p_partkey", strings.lcs("p_name", "p_type").alias("common"), strings.lcs_runs("p_name", "p_type").alias("runs")))
 
 
+def _kept(k, d):
+    """Customers' names, half of them with an expiry."""
+    return _names(k, d).withColumn("expire_at", F.when(F.substring("key", -1, 1).isin("0", "2", "4", "6", "8"), F.lit(NOW)))
+
+
+def _writes(k, d, given="BUILDING"):
+    """Every second name, shifted so that some are new; they expire later."""
+    return _keys(k, d).select("key", F.lit("new").alias("value"), F.lit(NOW + 1).alias("expire_at"), F.lit(given).alias("given"))
+
+
+KEPT = f"{N}, h AS (SELECT *, CASE WHEN substr(key, -1) IN ('0', '2', '4', '6', '8') THEN {NOW} END AS expire_at FROM n), {KEYS}, w AS (SELECT key, 'new' AS value, {NOW + 1} AS expire_at FROM ks)"
+_go = {"always": "true", "nx": "h.key IS NULL", "xx": "h.key IS NOT NULL", "ifeq": "h.value = 'BUILDING'", "ifne": "(h.key IS NULL OR h.value <> 'BUILDING')"}
+for _c, _t in _go.items():
+    _q(f"str_set_{_c}", lambda k, d, c=_c: strings.write(_kept(k, d), _writes(k, d), c),
+       f"WITH {KEPT} SELECT coalesce(h.key, w.key) AS key, CASE WHEN w.key IS NOT NULL AND {_t} THEN w.value ELSE h.value END AS value, CASE WHEN w.key IS NOT NULL AND {_t} THEN w.expire_at ELSE h.expire_at END AS expire_at, h.value AS old FROM h FULL JOIN w ON h.key = w.key WHERE h.key IS NOT NULL OR {_t}")
+_q("str_set_keepttl", lambda k, d: strings.write(_kept(k, d), _writes(k, d), "xx", True).select("key", "value", "expire_at"), f"WITH {KEPT} SELECT h.key, coalesce(w.value, h.value) AS value, coalesce(h.expire_at, w.expire_at) AS expire_at FROM h LEFT JOIN w ON h.key = w.key")
+_q("str_set_digest", lambda k, d: strings.write(_kept(k, d), _writes(k, d).withColumn("given", strings.digest(F.lit("BUILDING"))), "ifdeq").select("key", "value"), f"WITH {KEPT} SELECT h.key, CASE WHEN w.key IS NOT NULL AND h.value = 'BUILDING' THEN w.value ELSE h.value END AS value FROM h LEFT JOIN w ON h.key = w.key")
+_q("str_setex", lambda k, d: strings.write(_kept(k, d), _writes(k, d).withColumn("expire_at", F.lit(NOW) + 60 * 1000)).select("key", "expire_at"), f"WITH {KEPT} SELECT coalesce(h.key, w.key) AS key, CASE WHEN w.key IS NOT NULL THEN {NOW + 60000} ELSE h.expire_at END AS expire_at FROM h FULL JOIN w ON h.key = w.key")
+_q("str_mset", lambda k, d: strings.write(_kept(k, d), _writes(k, d).withColumn("expire_at", F.lit(None).cast("long"))).select("key", "value", "expire_at"), f"WITH {KEPT} SELECT coalesce(h.key, w.key) AS key, coalesce(w.value, h.value) AS value, CASE WHEN w.key IS NULL THEN h.expire_at END AS expire_at FROM h FULL JOIN w ON h.key = w.key")
+_q("str_msetex", lambda k, d: strings.write_all_if(_kept(k, d), _writes(k, d).where("key <= 'Customer#000000100'"), "xx"), f"WITH {KEPT} SELECT h.key, coalesce(w.value, h.value) AS value, CASE WHEN w.key IS NULL THEN h.expire_at ELSE w.expire_at END AS expire_at FROM h LEFT JOIN (SELECT * FROM w WHERE key <= 'Customer#000000100') w ON h.key = w.key")
+_q("str_msetex_nx", lambda k, d: strings.write_all_if(_kept(k, d), _writes(k, d), "nx"), f"WITH {KEPT} SELECT * FROM h")
+_q("str_msetnx_new", lambda k, d: strings.set_all_if_none(_names(k, d), _names(k, d).select(F.concat(F.lit("new:"), "key").alias("key"), "value")), f"WITH {N} SELECT * FROM n UNION ALL SELECT 'new:' || key, value FROM n")
+_q("str_getdel", lambda k, d: strings.get_and_delete(_names(k, d), _keys(k, d))[0], f"WITH {N}, {KEYS} SELECT * FROM n WHERE key IN (SELECT key FROM ks)")
+_q("str_getdel_rest", lambda k, d: strings.get_and_delete(_names(k, d), _keys(k, d))[1], f"WITH {N}, {KEYS} SELECT * FROM n WHERE key NOT IN (SELECT key FROM ks)")
+_q("str_getex", lambda k, d: strings.get_and_expire(_kept(k, d), _writes(k, d)), f"WITH {KEPT} SELECT h.key, h.value, CASE WHEN w.key IS NULL THEN h.expire_at ELSE w.expire_at END AS expire_at, w.key IS NOT NULL AS read FROM h LEFT JOIN w ON h.key = w.key")
+_q("str_getex_persist", lambda k, d: strings.get_and_expire(_kept(k, d), _writes(k, d).withColumn("expire_at", F.lit(None).cast("long"))).where("expire_at IS NULL").select("key"), f"WITH {KEPT} SELECT key FROM h WHERE expire_at IS NULL OR key IN (SELECT key FROM w)")
+_q("str_decrby", lambda k, d: strings.counters(_log(k, d).withColumn("delta", -F.col("delta"))), f"WITH {LOG} SELECT key, CAST(-sum(delta) AS BIGINT) AS value FROM log GROUP BY 1")
+_q("str_decr", lambda k, d: strings.counters(_log(k, d).withColumn("delta", F.lit(-1).cast("long"))), f"WITH {LOG} SELECT key, -count(*) AS value FROM log GROUP BY 1")
+
+
 def _lists(k, d):
     return load(k, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("value"))
 
@@ -139,3 +170,6 @@ _elem = lambda k, d: load(k, d, "orders").select(F.col("o_custkey").alias("elem"
 _q("sort_by_get", lambda k, d: keyspace.sort_by(_elem(k, d), _cust(k, d, "c_acctbal"), F.concat(F.lit("w_"), F.col("elem").cast("string")), {"segment": (_cust(k, d, "c_mktsegment"), F.concat(F.lit("w_"), F.col("elem").cast("string")))}, offset=5, count=50),
    "SELECT o_custkey AS elem, c_mktsegment AS segment FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN customer ON c_custkey = o_custkey ORDER BY c_acctbal NULLS FIRST, 1 LIMIT 50 OFFSET 5")
 _q("sort_alpha_desc_limit", lambda k, d: keyspace.sort_by(_elem(k, d), None, None, alpha=True, descending=True, count=30), "SELECT o_custkey AS elem FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY o_custkey::VARCHAR DESC, 1 DESC LIMIT 30")
+_strangers = lambda k, d: _more(k, d).unionByName(_more(k, d).withColumn("key", -1 - F.col("key")))
+for _l in (False, True):
+    _q("list_lpushx" if _l else "list_rpushx", lambda k, d, left=_l: lists.length(lists.push_if_there(_lists(k, d), _strangers(k, d), left)), "SELECT conv_id AS key, count(*) + count(*) FILTER (turn = 0) AS length FROM conversations GROUP BY 1")

@@ -28,6 +28,10 @@ def _y(spark, sf):
     return li.select(F.col("l_returnflag").alias("key"), F.col("l_partkey").alias("member"), "score")
 
 
+def _wide(spark, sf):
+    return load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_partkey").alias("member")).distinct()
+
+
 def _simple(name, f, sql):
     ENTRIES.add(name, sql)(f)
 
@@ -95,7 +99,13 @@ for _agg in ("sum", "min", "max"):
             f"WITH {Y} SELECT member, {_agg}(score * CASE key WHEN 'R' THEN 2.0 ELSE 3.0 END) AS score FROM y WHERE key IN ('R', 'A') GROUP BY 1 HAVING count(*) = 2")
 _simple("z_intercard", lambda k, d: zsets.intersection(_y(k, d), {"R": 1, "A": 1}).limit(100).agg(F.count("*").alias("n")),
         f"WITH {Y} SELECT least(100, count(*)) AS n FROM (SELECT member FROM y WHERE key = 'R' INTERSECT SELECT member FROM y WHERE key = 'A')")
-_simple("z_diff", lambda k, d: zsets.difference(_y(k, d), "R", ["A"]), f"WITH {Y} SELECT member, score FROM y WHERE key = 'R' AND member NOT IN (SELECT member FROM y WHERE key = 'A')")
+_simple("z_diff", lambda k, d: zsets.difference(_z(k, d).where("key <= 40").select(F.lit("a").alias("key"), "member", "score").unionByName(_z(k, d).where("score > 100000").select(F.lit("b").alias("key"), "member", "score")), "a", ["b"]),
+        f"WITH {Z} SELECT member, score FROM z WHERE key <= 40 AND member NOT IN (SELECT member FROM z WHERE score > 100000)")
+_simple("z_rem", lambda k, d: zsets.remove(_z(k, d), F.col("member").isin([1, 2, 3, 32, 33])), f"WITH {Z} SELECT * FROM z WHERE member NOT IN (1, 2, 3, 32, 33)")
+_simple("set_store_diff", lambda k, d: sets.store(sets.difference(_s(k, d), 1, [2, 3]), 999), f"WITH {S} SELECT 999 AS key, member FROM (SELECT member FROM s WHERE key = 1 EXCEPT SELECT member FROM s WHERE key IN (2, 3))")
+_simple("set_store_inter", lambda k, d: sets.store(sets.intersection(_wide(k, d), ["A", "R"]), 999), "SELECT 999 AS key, l_partkey AS member FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) = 2")
+_simple("set_randmember_repeats", lambda k, d: sets.sample_with_repeats(_s(k, d), 3, "x"),
+        f"WITH {S}, r AS (SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY member) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM s), g AS (SELECT DISTINCT key, n, unnest([0, 1, 2]) AS draw FROM r) SELECT g.key, draw, member FROM g JOIN r ON r.key = g.key AND i = ('0x' || substr(md5('x:' || g.key || ':' || draw), 1, 8))::BIGINT % g.n")
 _simple("z_remrangebyrank", lambda k, d: zsets.remove_by_rank(_z(k, d), 0, 1), f"{_R} SELECT key, member, score FROM r WHERE rank > 1")
 _simple("z_remrangebyscore", lambda k, d: zsets.remove(_z(k, d), zsets.score_between(50000, 150000)), f"WITH {Z} SELECT * FROM z WHERE NOT score BETWEEN 50000 AND 150000")
 _simple("z_remrangebylex", lambda k, d: zsets.remove(_z(k, d), zsets.member_between("[1", "[3")), f"WITH {Z} SELECT * FROM z WHERE NOT (member::VARCHAR >= '1' AND member::VARCHAR <= '3')")

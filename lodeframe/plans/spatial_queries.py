@@ -69,23 +69,31 @@ _q("geo_radius_join", lambda k, d: geo.radius_join(_points(k, d), _suppliers(k,
 
 
 def _bits(k, d):
+    """For each kind of event and day of the month, the users who had one."""
     e = load(k, d, "events")
-    return e.select(F.col("event_type").alias("key"), (F.col("user_id") % 500).alias("bit")).distinct()
+    return e.select(F.concat("event_type", F.lit(":"), F.date_format("ts", "dd")).alias("key"), F.col("user_id").alias("bit")).distinct()
 
 
-BITS = "b AS (SELECT DISTINCT event_type AS key, user_id % 500 AS bit FROM events)"
-KEYS = ["click", "view", "error"]
-IN = "key IN ('click', 'view', 'error')"
-CNT = f"WITH {BITS}, n AS (SELECT bit, count(*) AS n, count(*) FILTER (key = 'click') AS f FROM b WHERE {IN} GROUP BY 1)"
+BITS = "b AS (SELECT DISTINCT event_type || ':' || strftime(ts, '%d') AS key, user_id AS bit FROM events)"
+KEYS = ["click:01", "view:02", "error:03"]
+IN = "key IN ('click:01', 'view:02', 'error:03')"
+CNT = f"WITH {BITS}, n AS (SELECT bit, count(*) AS n, count(*) FILTER (key = 'click:01') AS f FROM b WHERE {IN} GROUP BY 1)"
 for _op, _t in {"and": "n = 3", "or": "n > 0", "xor": "n % 2 = 1", "one": "n = 1", "diff": "f = 1 AND n = 1", "diff1": "f = 0", "andor": "f = 1 AND n > 1"}.items():
-    _q(f"bitop_{_op}", lambda k, d, o=_op: bitmaps.combine(_bits(k, d).where("bit % 3 <> 0 OR key <> 'view'").where("bit % 7 > 1 OR key <> 'click'").where("bit % 5 <> 2 OR key <> 'error'"), KEYS, o),
-       CNT.replace("FROM events)", "FROM events WHERE (user_id % 500 % 3 <> 0 OR event_type <> 'view') AND (user_id % 500 % 7 > 1 OR event_type <> 'click') AND (user_id % 500 % 5 <> 2 OR event_type <> 'error'))") + f" SELECT bit FROM n WHERE {_t}")
-_q("bitop_not", lambda k, d: bitmaps.combine(_bits(k, d).where("bit % 3 = 0"), ["click"], "not", 504), f"WITH {BITS} SELECT range AS bit FROM range(504) WHERE range NOT IN (SELECT bit FROM b WHERE key = 'click' AND bit % 3 = 0)")
+    _q(f"bitop_{_op}", lambda k, d, o=_op: bitmaps.combine(_bits(k, d), KEYS, o), CNT + f" SELECT bit FROM n WHERE {_t}")
+
+
+def _bit_not(k, d):
+    b = _bits(k, d)
+    top = b.agg(F.max("bit")).first()[0] or 0
+    return bitmaps.combine(b, ["click:01"], "not", (top // 8 + 1) * 8)
+
+
+_q("bitop_not", _bit_not, f"WITH {BITS} SELECT bit FROM (SELECT unnest(range((max(bit) // 8 + 1) * 8)) AS bit FROM b) WHERE bit NOT IN (SELECT bit FROM b WHERE key = 'click:01')")
 _q("bit_count", lambda k, d: bitmaps.count(_bits(k, d), 2, 40), f"WITH {BITS} SELECT key, count(*) AS n FROM b WHERE bit // 8 BETWEEN 2 AND 40 GROUP BY 1")
-_q("bit_pos", lambda k, d: bitmaps.first_set(_bits(k, d).where("bit > 9")), f"WITH {BITS} SELECT key, min(bit) AS bit FROM b WHERE bit > 9 GROUP BY 1")
-_q("bit_pos_clear", lambda k, d: bitmaps.first_clear(_bits(k, d).where("bit % 50 <> 11")), f"WITH {BITS}, r AS (SELECT key, bit, row_number() OVER (PARTITION BY key ORDER BY bit) - 1 AS i FROM b WHERE bit % 50 <> 11) SELECT key, count(*) FILTER (bit = i) AS bit FROM r GROUP BY 1")
-_q("bit_get", lambda k, d: bitmaps.get_bits(_bits(k, d).where("bit % 2 = 0"), k.range(0, 20).select(F.lit("click").alias("key"), F.col("id").alias("bit"))), f"WITH {BITS} SELECT 'click' AS key, range AS bit, (range IN (SELECT bit FROM b WHERE key = 'click' AND bit % 2 = 0))::INTEGER AS value FROM range(20)")
-_q("bit_set", lambda k, d: bitmaps.count(bitmaps.set_bits(_bits(k, d), k.range(490, 600).select(F.lit("click").alias("key"), F.col("id").alias("bit")))), f"WITH {BITS} SELECT key, count(*) AS n FROM (SELECT * FROM b UNION SELECT 'click', range FROM range(490, 600)) GROUP BY 1")
+_q("bit_pos", lambda k, d: bitmaps.first_set(_bits(k, d)), f"WITH {BITS} SELECT key, min(bit) AS bit FROM b GROUP BY 1")
+_q("bit_pos_clear", lambda k, d: bitmaps.first_clear(_bits(k, d)), f"WITH {BITS}, r AS (SELECT key, bit, row_number() OVER (PARTITION BY key ORDER BY bit) - 1 AS i FROM b) SELECT key, count(*) FILTER (bit = i) AS bit FROM r GROUP BY 1")
+_q("bit_get", lambda k, d: bitmaps.get_bits(_bits(k, d), load(k, d, "events").select(F.lit("click:01").alias("key"), F.col("user_id").alias("bit")).distinct()), f"WITH {BITS}, u AS (SELECT DISTINCT bit FROM b) SELECT 'click:01' AS key, bit, (bit IN (SELECT bit FROM b WHERE key = 'click:01'))::INTEGER AS value FROM u")
+_q("bit_set", lambda k, d: bitmaps.count(bitmaps.set_bits(_bits(k, d), k.range(100, 260).select(F.lit("click:01").alias("key"), F.col("id").alias("bit")))), f"WITH {BITS} SELECT key, count(*) AS n FROM (SELECT * FROM b UNION SELECT 'click:01', range FROM range(100, 260)) GROUP BY 1")
 _NAME = lambda: F.col("p_name").cast("binary")
 _BYTE = lambda i: f"('0x' || substr(hex(encode(p_name)), {2 * i + 1}, 2))::BIGINT"
 _q("bitfield_get", lambda k, d: load(k, d, "part").select("p_partkey", bitmaps.field(_NAME(), "u12", 4).alias("a"), bitmaps.field(_NAME(), "i7", 3).alias("b")),
@@ -123,11 +131,23 @@ _q("vsim_filter_cmp", _vsim(10, None, ".label >= 2 and .label != 5"), _vsql("lab
 _q("vsim_filter_in", _vsim(10, None, '"t1" in .tags and .label in [1, 2, 3]'), _vsql("element % 4 = 1 AND label IN (1, 2, 3)"))
 _q("vsim_filter_arith", _vsim(10, None, "(.label * 2 + 1) % 3 == 0 || .label ** 2 > 60"), _vsql("(label * 2 + 1) % 3 = 0 OR label * label > 60"))
 _q("vsim_filter_bool", _vsim(10, None, 'not (.label < 4) and !(.name == "v7") and .label'), _vsql("NOT label < 4 AND element <> 7 AND label <> 0"))
-for _n, _f, _e in (("vsim_batch_knn", vectors.cosine_distance, "greatest(0.0, least(2.0, 1.0 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))))"), ("knn_l2", vectors.l2, "list_distance(a.e, b.e)"), ("knn_ip", lambda a, b: -vectors.dot(a, b), "-list_dot_product(a.e, b.e)")):
-    _q(_n, lambda k, d, f=_f: vectors.batch(_vec(k, d), _vec(k, d).where("element % 50 = 0").select(F.col("element").alias("query"), F.col("embedding").alias("q")), 5, f).select("query", "element", "rank", F.round("distance", 5).alias("distance")),
-       f"WITH {V}, r AS (SELECT a.element AS query, b.element, {_e} AS d, row_number() OVER (PARTITION BY a.element ORDER BY {_e}, b.element) AS rank FROM v a, v b WHERE a.element % 50 = 0 AND a.element <> b.element) SELECT query, element, rank, round(d, 5) AS distance FROM r WHERE rank <= 5")
-_q("v_links", lambda k, d: vectors.batch(_vec(k, d), _vec(k, d).where("element IN (1, 2)").select(F.col("element").alias("query"), F.col("embedding").alias("q")), 16).select("query", "element", "rank"),
-   f"WITH {V}, r AS (SELECT a.element AS query, b.element, row_number() OVER (PARTITION BY a.element ORDER BY 1.0 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.element) AS rank FROM v a, v b WHERE a.element IN (1, 2) AND a.element <> b.element) SELECT query, element, rank FROM r WHERE rank <= 16")
+_COS = "greatest(0.0, least(2.0, 1.0 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))))"
+
+
+def _asked(k, d):
+    return _vec(k, d).where("element % 20 = 0").select(F.col("element").alias("query"), F.col("embedding").alias("q"))
+
+
+for _n, _f, _k, _e in (("vsim_batch_knn", "cosine", 5, _COS), ("knn_l2", "l2", 5, "list_distance(a.e, b.e)"), ("knn_ip", "ip", 5, "-list_dot_product(a.e, b.e)"), ("v_links", "cosine", 16, _COS)):
+    _q(_n, lambda k, d, f=_f, n=_k: vectors.batch(_vec(k, d), _asked(k, d), n, f).select("query", "element", "rank", F.round("distance", 5).alias("distance")),
+       f"WITH {V}, r AS (SELECT a.element AS query, b.element, {_e} AS d, row_number() OVER (PARTITION BY a.element ORDER BY round({_e}, 10), b.element) AS rank FROM v a, v b WHERE a.element % 20 = 0 AND a.element <> b.element) SELECT query, element, rank, round(d, 5) AS distance FROM r WHERE rank <= {_k}")
+_more = lambda k, d: _vec(k, d).where("element < 10").withColumn("element", F.col("element") * 1000).withColumn("attrs", F.lit(None).cast("string"))
+_q("v_add", lambda k, d: vectors.upsert(_vec(k, d), _more(k, d)).select("element", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("head"), F.col("attrs").isNull().alias("bare")),
+   f"WITH {V}, m AS (SELECT element * 1000 AS element, e[1] AS h FROM v WHERE element < 10) SELECT element, round(e[1], 5) AS head, false AS bare FROM v WHERE element NOT IN (SELECT element FROM m) UNION ALL SELECT element, round(h, 5), true FROM m")
+_q("v_ismember", lambda k, d: vectors.is_member(_vec(k, d), load(k, d, "customer").select(F.col("c_custkey").alias("element"))), "SELECT c_custkey AS element, c_custkey IN (SELECT vec_id FROM embeddings) AS is_member FROM customer")
+_q("v_info", lambda k, d: vectors.info(_vec(k, d)), "SELECT count(*) AS size, max(len(embedding)) AS dim, count(label) AS with_attrs FROM embeddings")
+_q("v_emb_raw", lambda k, d: vectors.raw(_vec(k, d)).select("element", "kind", F.round("norm", 5).alias("norm"), F.round(F.element_at("data", 1), 5).alias("head")), f"WITH {V} SELECT element, 'f32' AS kind, round(sqrt(list_dot_product(e, e)), 5) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS head FROM v")
+_q("geo_search_store", lambda k, d: geo.store(geo.within_box(_centres(k, d), 15.0, 37.0, 4000, 2000, "km"), "near"), f"WITH {DEC} SELECT 'near' AS key, member, round({_dist('15.0', '37.0', 'lon', 'lat')}, 4) AS score FROM c WHERE {_dist('lon', '37.0', 'lon', 'lat')} <= 1000 AND {_dist('15.0', 'lat', 'lon', 'lat')} <= 2000")
 _q("v_range_radius", lambda k, d: (lambda v, q: v.withColumn("dist", vectors.l2(F.col("embedding"), vectors.constant(q))).where("dist <= 1.1").select("element"))(_vec(k, d), vectors.vector_of(_vec(k, d), 3)), f"WITH {V} SELECT element FROM v, q WHERE list_distance(e, q) <= 1.1")
 _q("v_dim", lambda k, d: _vec(k, d).select("element", F.size("embedding").cast("long").alias("dim")), f"WITH {V} SELECT element, len(e) AS dim FROM v")
 _q("v_card", lambda k, d: _vec(k, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM embeddings")

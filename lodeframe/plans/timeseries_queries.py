@@ -126,3 +126,26 @@ _q("xclaim", lambda k, d: xs.claim(_delivered(k, d)[1], _acks(k, d), "other", NO
 _q("xautoclaim", lambda k, d: xs.auto_claim(_delivered(k, d)[1], _stream(k, d).where("seq % 5 <> 0"), "auto", NOW + 10, 5), f"{XR}, {PEND} SELECT key, \"group\", ms, seq, 'auto' AS consumer, 2::BIGINT AS deliveries, seq % 5 = 0 AS deleted FROM p")
 _q("xinfo_groups", lambda k, d: xs.group_info(_stream(k, d), _delivered(k, d)[0], xs.acknowledge(_delivered(k, d)[1], _acks(k, d))), f"""{XR}, {PEND}, q AS (SELECT key, count(DISTINCT consumer) AS consumers, count(*) AS pending FROM p WHERE seq % 3 <> 0 GROUP BY 1) SELECT r.key, 'g' AS "group", coalesce(any_value(consumers), 0)::BIGINT AS consumers, coalesce(any_value(pending), 0)::BIGINT AS pending, greatest(count(*) - 4, 0)::BIGINT AS lag FROM r LEFT JOIN q USING (key) GROUP BY 1""")
 _q("xinfo_stream", lambda k, d: xs.stream_info(_stream(k, d)), f"WITH {X} SELECT key, count(*) AS length, min(ms) AS first_ms, max(ms) AS last_ms FROM x GROUP BY 1")
+_heads = lambda k, d: _stream(k, d).groupBy("key").agg(F.max(xs.id_of()).alias("x")).select("key", "x.ms", "x.seq")
+_shift = lambda k, d: _heads(k, d).withColumn("ms", F.col("ms") + F.when(F.col("key") % 2 == 0, 1000).otherwise(-1000))
+_q("xsetid", lambda k, d: xs.set_last_id(_heads(k, d), _shift(k, d)), f"{XR} SELECT key, ms + CASE WHEN key % 2 = 0 THEN 1000 ELSE 0 END AS ms, seq FROM r WHERE b = 1")
+_other = lambda k, d: _groups(k, d).where("key % 3 = 0").withColumn("group", F.when(F.col("key") % 2 == 0, "g").otherwise("h")).withColumn("ms", F.lit(5).cast("long"))
+_q("xgroup_create", lambda k, d: xs.create_groups(_groups(k, d), _other(k, d)), f"""WITH {X}, k AS (SELECT DISTINCT key FROM x) SELECT key, 'g' AS "group", 0::BIGINT AS ms, 0::BIGINT AS seq FROM k UNION ALL SELECT key, 'h', 5, 0 FROM k WHERE key % 3 = 0 AND key % 2 = 1""")
+_q("xgroup_setid", lambda k, d: xs.set_group_ids(_groups(k, d), _other(k, d)), f"""WITH {X} SELECT DISTINCT key, 'g' AS "group", CASE WHEN key % 6 = 0 THEN 5 ELSE 0 END::BIGINT AS ms, 0::BIGINT AS seq FROM x""")
+_q("xgroup_destroy", lambda k, d: xs.destroy_groups(_groups(k, d), _delivered(k, d)[1], _other(k, d))[1].groupBy("key").agg(F.count("*").alias("n")), f"{XR}, {PEND} SELECT key, count(*) AS n FROM p WHERE key % 6 <> 0 GROUP BY 1")
+_q("xgroup_delconsumer", lambda k, d: xs.delete_consumer(_delivered(k, d)[1], "c1").select("key", "ms", "seq"), f"{XR}, {PEND} SELECT key, ms, seq FROM p WHERE consumer <> 'c1'")
+_q("xinfo_consumers", lambda k, d: xs.consumer_info(_delivered(k, d)[1], NOW + 700), f'{XR}, {PEND} SELECT key, "group", consumer, count(*) AS pending, 700::BIGINT AS idle_ms FROM p GROUP BY ALL')
+
+
+def _registered(k, d):
+    return _meta(k, d).withColumn("retention_ms", F.when(F.col("key") == "click", 0).otherwise(86_400_000).cast("long")).withColumn("duplicates", F.lit("last"))
+
+
+_named = lambda df: df.select("key", F.col("labels")["kind"].alias("kind"), "retention_ms", "duplicates")
+SERIES = "s AS (SELECT DISTINCT event_type AS key, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' ELSE 'web' END AS kind, CASE WHEN event_type = 'click' THEN 0 ELSE 86400000 END::BIGINT AS retention_ms, 'last' AS duplicates FROM events)"
+_q("ts_create", lambda k, d: _named(ts.create(_registered(k, d).where("key <> 'view'"), _registered(k, d).withColumn("duplicates", F.lit("sum")))), f"WITH {SERIES} SELECT key, kind, retention_ms, CASE WHEN key = 'view' THEN 'sum' ELSE duplicates END AS duplicates FROM s")
+_q("ts_alter", lambda k, d: _named(ts.alter(_registered(k, d), _registered(k, d).where("key IN ('view', 'error')").withColumn("labels", F.lit(None).cast("map<string,string>")).withColumn("retention_ms", F.lit(60_000).cast("long")).withColumn("duplicates", F.lit(None).cast("string")))),
+   f"WITH {SERIES} SELECT key, kind, CASE WHEN key IN ('view', 'error') THEN 60000 ELSE retention_ms END AS retention_ms, duplicates FROM s")
+_rules = lambda k, d: _meta(k, d).select(F.col("key").alias("source"), F.explode(F.array(F.lit("avg"), F.lit("max"))).alias("kind")).withColumn("target", F.concat("source", F.lit("_"), "kind")).withColumn("ms", F.lit(HOUR).cast("long"))
+_q("ts_deleterule", lambda k, d: ts.delete_rules(_rules(k, d), _rules(k, d).where("kind = 'avg' AND source <> 'view'")).select("source", "target"), "SELECT DISTINCT event_type AS source, event_type || '_' || k AS target FROM events, (SELECT unnest(['avg', 'max']) AS k) WHERE k = 'max' OR event_type = 'view'")
+_q("ts_retention_each", lambda k, d: ts.retain_each(_samples(k, d), _registered(k, d)).groupBy("key").agg(F.count("*").alias("n")), f"WITH {SERIES}, e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, max(epoch_us(ts) // 1000) OVER (PARTITION BY event_type) AS z FROM events) SELECT e.key, count(*) AS n FROM e JOIN s USING (key) WHERE retention_ms = 0 OR ms >= z - retention_ms GROUP BY 1")

@@ -9,7 +9,7 @@ from lodeframe.plans import catalogue
 from lodeframe.session import TABLES
 
 SF = os.environ.get("CATALOGUE_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(catalogue.queries())[:: int(os.environ.get("CATALOGUE_STEP", "9"))]
+NAMES = sorted(catalogue.queries())[:: int(os.environ.get("CATALOGUE_STEP", "1"))]
 
 
 @pytest.fixture(scope="module")

@@ -254,3 +254,55 @@ def test_indexes(spark):
     ix.drop("i")
     with pytest.raises(KeyError):
         ix.search("j", "fox")
+
+
+def test_lcs_against_a_table():
+    """Halving against the whole dynamic program; long texts in bounded memory; nulls; runs of a least length."""
+    import random
+
+    from lodeframe.operators import strings
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcß") for _ in range(rng.randrange(0, 14))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        common, runs = strings._lcs(a, b)
+        assert len(common) == best[-1][-1] == sum(r[4] for r in runs)
+        assert "".join(a[r[0] : r[1] + 1] for r in reversed(runs)) == "".join(b[r[2] : r[3] + 1] for r in reversed(runs)) == common
+        assert [r for r in runs if r[4] >= 2] == strings._lcs(a, b, 2)[1]
+    a = "".join(rng.choice("ab") for _ in range(3000))
+    assert strings._lcs(a, a)[1] == [[0, 2999, 0, 2999, 3000]]
+
+
+def test_json_paths_that_cannot_be_read(spark):
+    from pyspark.sql import functions as F
+
+    from lodeframe.operators import jsondocs
+
+    rows = [('{"a":{"b":[1,2]}}', "$.a.b[0]", "7"), ("not json", "$.a", "1"), ('{"a":1}', "$.a", "not json"), (None, "$.a", "1"), ('{"a":1}', "$.x.y", "1"), ("[1,2,3]", "$[-1]", "null")]
+    df = spark.createDataFrame(rows, "doc string, path string, value string")
+    got = df.select(jsondocs.set_path("doc", "path", "value").alias("s"), jsondocs.delete_path("doc", "path").alias("d")).collect()
+    assert [r.s for r in got] == ['{"a":{"b":[7,2]}}', "not json", '{"a":1}', None, '{"a":1}', "[1,2,null]"]
+    assert [r.d for r in got] == ['{"a":{"b":[2]}}', "not json", "{}", None, '{"a":1}', "[1,2]"]
+
+
+def test_batch_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lodeframe.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "VECTORS", 16)
+    rng = np.random.RandomState(1)
+    x = rng.randn(90, 6).astype(np.float32)
+    x[40:50], x[60] = x[40], 0
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(95, None)], "element long, embedding array<float>")
+    for kind in ("cosine", "l2", "ip"):
+        d = np.round(vectors.distances(x.astype(np.float64), x.astype(np.float64), kind), 10)
+        got = vectors.batch(df, df.where("element % 3 = 0").selectExpr("element AS query", "embedding AS q"), 4, kind).collect()
+        for q in range(0, 90, 3):
+            want = sorted((d[q, i], i) for i in range(90) if i != q)[:4]
+            assert [(r.distance, r.element) for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == want
