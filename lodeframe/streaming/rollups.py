@@ -37,3 +37,13 @@ def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     b = new.select(key, F.xxhash64(*[c for c in new.columns if c != key]).alias("_b"))
     event: Column = F.when(F.col("_a").isNull(), "set").when(F.col("_b").isNull(), "del").when(F.col("_a") != F.col("_b"), "change")
     return a.join(b, key, "full").select(key, event.alias("event")).where("event IS NOT NULL")
+
+
+def publish(events: DataFrame, channel: str, pattern: str, sink: str, checkpoint: str):
+    """A running query that appends each batch's messages of matching channels to a Parquet sink, partitioned by channel. A batch
+    that is tried again replaces its own files, so each message is there once."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy(channel).parquet(f"{sink}/batch={batch_id}")
+
+    return published(events, channel, pattern).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
