@@ -8,8 +8,13 @@ so a retry or another partitioning draws alike.
 Target shares are tempered by default: a value's share of all tokens to the power `temper`, normalised. Explicit
 targets may be given per margin as {value: share}; values that have no tokens are left out and the rest scaled.
 
+Up to `ONE_PARTITION` cells are raked by windows in one small partition, a single job. Beyond that each margin is an
+aggregation of the cells, joined back, with a table written after each round, which ends when no margin is off by more
+than `CLOSE`; lambda comes from repeated sums. Both ways give the same weights and probabilities.
+
 Defined cases: null source or language counts as "unknown"; null and empty texts have no tokens, lie in topic
-"empty" and are never drawn; repeated ids are drawn together; an empty table gives no rows.
+"empty" and are never drawn; very long texts count like any other; rows that repeat an id, or have none, are drawn together;
+cells of equal ratios go by their names; extra columns are not read unless named in `keep`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.llm.common import written
+
 MARGINS = ("source", "lang", "topic")
 #: Fixed values: (topic, pieces of text that mark it), first match first.
 TOPICS = (
@@ -27,7 +34,7 @@ TOPICS = (
 )
 ROUNDS, TEMPER, BUDGET, SEED = 10, 0.5, 0.5, "mix"
 #: Up to so many cells are raked in one partition and broadcast to the documents; more are shuffled instead.
-ONE_PARTITION = 20_000
+ONE_PARTITION, CLOSE = 20_000, 1e-9
 
 
 def topic(text: Column) -> Column:
@@ -74,18 +81,59 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return cells.select(*MARGINS, "tokens", "weight", p.alias("probability"))
 
 
+def off(cells: DataFrame, margin: str) -> Column:
+    """The largest difference between a margin's share of weight and its target, of sums (margin, weight, target)."""
+    return F.coalesce(F.max(F.abs(F.col("weight") - F.col("target"))), F.lit(0.0))
+
+
+def rake_large(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER,
+               rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """What `rake` gives, for any number of cells, by aggregations."""
+    cells = written(cells.where("tokens > 0"), "mix-cells")
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.select(*MARGINS, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
+    goals = {}
+    for m in MARGINS:
+        sums, wanted = cells.groupBy(m).agg(F.sum("tokens").alias("t")), (targets or {}).get(m)
+        raw = F.pow("t", F.lit(float(temper))) if wanted is None else F.coalesce(*[F.when(F.col(m) == k, F.lit(float(v))) for k, v in wanted.items()], F.lit(0.0))
+        sums = sums.select(m, raw.alias("target"))
+        goals[m] = written(sums.select(m, (F.col("target") / sums.agg(F.sum("target")).first()[0]).alias("target")), f"mix-{m}")
+    cells = cells.withColumn("share", F.col("tokens") / float(total)).withColumn("weight", F.col("share"))
+    for _ in range(rounds):
+        far = 0.0
+        for m in MARGINS:
+            sums = cells.groupBy(m).agg(F.sum("weight").alias("weight")).join(goals[m], m)
+            far = max(far, sums.agg(off(sums, m)).first()[0])
+            cells = cells.join(sums.select(m, (F.col("target") / F.col("weight")).alias("_by")), m).withColumn("weight", F.col("weight") * F.col("_by")).drop("_by")
+        cells = written(cells, "mix-round")
+        if far <= CLOSE:
+            break
+    # lambda: cells that it clips at 1 are taken out, and it is solved again for the others, until none is new.
+    lam, clipped = budget, -1
+    while True:
+        over = F.col("weight") * lam >= F.col("share")
+        r = cells.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("share"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if r[0] == clipped or not r[2]:
+            break
+        clipped, lam = r[0], (budget - r[1]) / r[2]
+    p = F.least(F.lit(1.0), F.col("weight") / F.col("share") * lam)
+    return cells.select(*MARGINS, "tokens", "weight", p.alias("probability"))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS,
         budget: float = BUDGET, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        lang: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: its cell, tokens (a fourth of its bytes, rounded up), probability and whether it is drawn."""
+        lang: str = "lang", keep: tuple[str, ...] = (), of_topic: Column | None = None) -> DataFrame:
+    """of_topic: the documents' topics, where better ones are known than those of the rules in `TOPICS`. One row per document: its cell, tokens (a fourth of its bytes, rounded up), probability and whether it is drawn."""
     own = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("source"),
-        F.coalesce(F.col(lang).cast("string"), F.lit("unknown")).alias("lang"), topic(F.col(text)).alias("topic"),
+        F.coalesce(F.col(lang).cast("string"), F.lit("unknown")).alias("lang"), (topic(F.col(text)) if of_topic is None else F.coalesce(of_topic.cast("string"), F.lit("unknown"))).alias("topic"),
         F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long").alias("tokens"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep])
     cells = own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
     few = cells.limit(ONE_PARTITION + 1).count() <= ONE_PARTITION
-    raked = rake(cells.coalesce(1) if few else cells, targets, temper, rounds, budget).select(*MARGINS, "probability")
+    raked = rake(cells.coalesce(1), targets, temper, rounds, budget) if few else rake_large(cells, targets, temper, rounds, budget)
+    raked = raked.select(*MARGINS, "probability")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
     out = own.join(F.broadcast(raked) if few else raked, list(MARGINS), "left")
     return out.select(

@@ -541,6 +541,31 @@ def test_mixing(spark):
     assert sorted(want) == sorted(again)
 
 
+def test_mixing_of_many_cells(spark, monkeypatch):
+    """The way for many cells against that for few; margins meet their targets; repeats, null ids, clashing columns."""
+    rng = random.Random(11)
+    rows = [(i % 900 if i % 100 else None, "word " * rng.randrange(0, 300), rng.choice(["en", "de", None]), f"s{min(rng.randrange(30), rng.randrange(30))}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("weight", F.lit(1)).withColumn("tokens", F.lit(-1))
+    for more in ({}, {"budget": 0.9}, {"targets": {"lang": {"en": 0.5, "de": 0.3, "unknown": 0.2}}, "rounds": 40}):
+        few = sorted((r.doc_id or -1, r.source, r.lang, r.topic, r.tokens, round(r.probability, 7), r.sampled) for r in mixing.mix(docs, **more).collect())
+        monkeypatch.setattr(mixing, "ONE_PARTITION", 0)
+        many = sorted((r.doc_id or -1, r.source, r.lang, r.topic, r.tokens, round(r.probability, 7), r.sampled) for r in mixing.mix(docs, **more).collect())
+        monkeypatch.undo()
+        assert few == many and len(few) == 1500
+    cells = mixing.mix(docs).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    raked = mixing.rake_large(cells, rounds=60).collect()
+    total = sum(r.tokens for r in raked)
+    for m in mixing.MARGINS:
+        want, got = defaultdict(float), defaultdict(float)
+        for r in raked:
+            want[r[m]] += r.tokens
+            got[r[m]] += r.weight
+        norm = sum((t / total) ** mixing.TEMPER for t in want.values())
+        assert all(abs(got[k] - (t / total) ** mixing.TEMPER / norm) < 1e-6 for k, t in want.items())
+    monkeypatch.setattr(mixing, "ONE_PARTITION", -1)
+    assert mixing.mix(empty(docs)).count() == 0
+
+
 # 9
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/1", "http://example.net/de/1", "http://x.net", "https://foo.com/de/1", "https://www.example.com/de/9?x=/a", "http://b.org/fr/2#t", "http://notorg/fr/1", "http://forg.org?u=http://c.net/", None, "", "no scheme", "http://exampleXnet/en/", "ftp://net/"]
