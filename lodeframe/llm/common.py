@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hinted(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def hinted(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A table that `written` made, to be broadcast in a join if it has at most so many (short) rows; else it is
     shuffled."""
     return F.broadcast(df) if df.count() <= rows else df

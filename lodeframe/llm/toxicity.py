@@ -153,7 +153,8 @@ class Scorer:
             try:
                 ks = cache[s]
             except KeyError:
-                ks = tuple(self.index[w] for w in WORD.findall(s.lower()) if w in self.index)
+                w = s.lower()
+                ks = tuple(self.index[w] for w in ((w,) if w.isalpha() else WORD.findall(w)) if w in self.index)
                 if len(s) <= self.LONG:
                     if len(cache) > self.LIMIT:
                         cache.clear()
