@@ -361,7 +361,8 @@ def _rid(docs: DataFrame, doc_id: str) -> Column:
     if doc_id in docs.columns and docs.schema[doc_id].dataType.simpleString() in ("int", "bigint"):
         own = docs.select(F.col(doc_id).alias("id"))
         if own.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
-            return F.col(doc_id).cast("long")
+            # Not null for the optimiser too: then both joins below read one and the same exchange.
+            return F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long"))
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
