@@ -8,8 +8,8 @@
 4. Each bucket is a shard with a BK-tree: children keyed by their Hamming distance to the parent, and only edges
    within the radius are followed. A search takes what it finds out of the tree, so a bucket gives spanning links,
    never all pairs. The trees are built where their bucket is, not broadcast, as nothing bounds their size. (One
-   tree over all fingerprints does not carry the search: at radius 4 a search of 100,000 spread fingerprints enters
-   two thirds of them, so the work would grow with the square of the table.)
+   tree over all fingerprints would not scale: at radius 4 a search enters, on average of 40, 992 of 10,000 random
+   fingerprints, 5,214 of 100,000 and 17,604 of 600,000, so the work would grow with about the power 1.7 of the table.)
 5. Components come from alternating star contraction on DataFrames, each round written to the shared folder.
 
 `dedup` is the form for pipelines: near copies are texts whose sets of five-word shingles have a Jaccard similarity of
