@@ -5,8 +5,8 @@ vectors are one node with its smallest ids, as many as a result can need, so cop
 graph. Nodes are dealt to shards of about `SHARD` by their hash. A shard's graph is built in batches: greedy beam
 search from the medoid proposes neighbours for each new node, relaxed distance pruning keeps diverse ones (a
 candidate goes if a kept neighbour is closer to it by the factor `ALPHA`), edges are added in both directions, and
-nodes with too many are pruned alike. Graphs are written, then joined with blocks of queries; each block is
-searched in each shard, and the best of all shards are kept. All rows are indexed.
+nodes with too many are pruned alike. Graphs are written; each block of queries is searched in each shard, and the best
+of all shards are kept. The tasks that search are a fixed number at most. All rows are indexed.
 
 Scores are inner products in double precision on the vectors as stored.
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lodeframe.llm.common import written
 
 SHARD, BLOCK = 16_384, 2_048
+#: Tasks that search, at most.
+TASKS = 512
 DEGREE, ALPHA, BUILD_BEAM, SEARCH_BEAM, EXPAND = 32, 1.2, 64, 100, 4
 
 
@@ -176,32 +178,39 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
         graph, "shard int, entry int, x binary, extra binary, edges binary, ids binary, sizes binary"), "ann-graphs")
     asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.struct("vec_id", "v").alias("q"))
     asked = asked.groupBy("block").agg(F.sort_array(F.collect_list("q")).alias("qs"))  # about BLOCK of them
-    asked = asked.select("block", "qs", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of each query in all shards of this task; shards come one after the other, each with all blocks."""
+        best: dict[tuple, list[tuple[float, int]]] = {}
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = {name: b.column(name)[i].as_py() for name in ("block", "entry", "x", "extra", "edges", "ids", "sizes")}
+                qs = b.column("qs")[i].values
+                asking, y = qs.field("vec_id").to_pylist(), qs.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x = np.frombuffer(r["x"], np.float64).reshape(-1, dim)
                 a = np.concatenate([x.astype(np.float32), np.frombuffer(r["extra"], np.float32)[:, None]], axis=1)
                 g = Graph(a, np.frombuffer(r["edges"], np.int32).reshape(len(x), -1), r["entry"])
                 sizes, flat = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["ids"], np.int64)
                 start = np.cumsum(sizes) - sizes
-                for i in range(0, len(r["qs"]), 256):
-                    part = r["qs"][i : i + 256]
-                    q = np.array([p["v"] for p in part], np.float64)
+                for j in range(0, len(asking), 256):
+                    q = y[j : j + 256]
                     found, _ = g.search(np.concatenate([q.astype(np.float32), np.zeros((len(q), 1), np.float32)], axis=1), max(SEARCH_BEAM, 2 * k))
-                    rows = []
-                    for j, p in enumerate(part):
-                        near = found[j][found[j] >= 0][: 2 * k + 8]
-                        s = (x[near] * q[j]).sum(axis=1)
-                        hits = sorted((-float(s[m]), int(v)) for m, c in enumerate(near) for v in flat[start[c] : start[c] + sizes[c]] if v != p["vec_id"])
-                        rows += [(p["vec_id"], v, -t) for t, v in hits[:k]]
-                    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    # One row, a shard and a block of queries, goes to a task at a time.
-    pairs = asked.repartition(shards * blocks, "shard", "block").join(graphs, "shard")
-    hits = pairs.select("qs", "x", "extra", "edges", "entry", "ids", "sizes").mapInArrow(search, "query_id long, vec_id long, score double")
+                    for m, own_id in enumerate(asking[j : j + 256]):
+                        near = found[m][found[m] >= 0][: 2 * k + 8]
+                        s = (x[near] * q[m]).sum(axis=1)
+                        hits = [(-float(s[n]), int(v)) for n, c in enumerate(near) for v in flat[start[c] : start[c] + sizes[c]] if v != own_id]
+                        key = r["block"], j + m
+                        best[key, own_id] = sorted(best.get((key, own_id), []) + hits)[:k]
+        rows = [(q, v, -t) for (_, q), hits in best.items() for t, v in hits]
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    # At most TASKS tasks, however many shards and blocks there are: a task has a slice of the blocks, which it holds,
+    # and a part of the shards, which pass by. Nothing is shuffled but the blocks, once, and each task's results.
+    slices = min(blocks, TASKS)
+    asked = asked.repartitionById(slices, F.col("block") % slices)
+    pairs = graphs.drop("shard").coalesce(TASKS // slices).crossJoin(asked.hint("shuffle_replicate_nl"))
+    hits = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

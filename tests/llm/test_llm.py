@@ -353,6 +353,27 @@ def test_graph_search(spark):
     assert graph_ann.neighbours(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_graph_search_of_many_shards(spark, monkeypatch):
+    """The tasks that search do not grow with shards times blocks, and no shard or block is left out."""
+    monkeypatch.setattr(graph_ann, "SHARD", 40)
+    monkeypatch.setattr(graph_ann, "BLOCK", 4)
+    monkeypatch.setattr(graph_ann, "TASKS", 6)
+    x = np.random.RandomState(5).randn(1200, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = graph_ann.neighbours(df, F.col("vec_id") % 20 == 0)
+    dealt = re.findall(r"(?:Partitioning|partitioning|passthrough)\(.*?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and max(map(int, dealt)) <= max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))  # not 30 shards by 15 blocks
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 1200, 20)) and all(len(v) == len(set(v)) == 20 for v in got.values())
+    hit = 0
+    for q, near in got.items():
+        s = x @ x[q]
+        hit += len(set(sorted((i for i in range(1200) if i != q), key=lambda i: (-s[i], i))[:20]) & set(near))
+    assert hit / (20 * len(got)) >= 0.95
+
+
 # 6
 def test_language_id(spark):
     rng = random.Random(8)
