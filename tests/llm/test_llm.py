@@ -514,6 +514,39 @@ def test_suffix_tree_lm(spark, texts, parts):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_followers_of_frequent_contexts(spark):
+    """Followers that are a tiny share of all symbols are not left out."""
+    s = np.tile(np.array([2, 3]), 1_500_000)
+    s[[20_001, 90_001]] = 4  # after 2, twice of 1.5 million times
+    s[-1] = suffix_tree_lm.END
+    rows = [(0, [len(s)], [True], bytearray(suffix_tree_lm.pack(s)))]
+    texts = spark.createDataFrame(rows, "rid long, size array<int>, learn array<boolean>, symbols binary")
+    root = (np.bincount(s, minlength=5) + 0.5) / (len(s) + 2.5)
+    tree = suffix_tree_lm.learn_tree(texts, root, len(s))
+    none = suffix_tree_lm.NONE
+    near = 2 << 3 * suffix_tree_lm.BITS | none << 2 * suffix_tree_lm.BITS | none << suffix_tree_lm.BITS | none
+    got = tree.probability(np.array([near]), np.array([none]), np.array([4]))[0][0]
+    # After 2 come 3, 4 and once the end, which was not seen often enough for a share of its own.
+    assert math.isclose(got, (2 + (3 + 1) * root[4]) / (1_500_000 + 3), rel_tol=1e-9)
+
+
+def test_contexts_that_are_not_held(spark, texts, monkeypatch):
+    """Contexts whose followers have no room in the broadcast part are states like all others."""
+    rng = random.Random(5)
+    rows = [t for t in texts if len(t or "") < 100_000 and (t or "").isascii()] + [prose(rng, 60, [f"p{k}" for k in range(30)]) for _ in range(40)]
+    learn = [i % 5 > 0 for i in range(len(rows))]
+    docs = table(spark, rows).withColumn("learn", F.col("doc_id") % 5 > 0).withColumn("held_out", ~F.col("learn")).repartition(3)
+    monkeypatch.setattr(suffix_tree_lm, "FOLLOWERS", 0)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, 20).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "LEAST", 10.0)  # none is frequent
+    want = _plain_tree(rows, learn, suffix_tree_lm.DEPTH, suffix_tree_lm.DIVERGENCE)
+    assert all(abs(got[i] - w) < 1e-6 * max(1, abs(w)) for i, w in enumerate(want))
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_tree_lm, "FOLLOWERS", 40)  # some contexts are held
+    some = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, 20).collect()}
+    assert len(some) == len(rows) and all(x < 0 and math.isfinite(x) for x in some.values())
+
+
 def test_suffix_tree_edges(spark, texts):
     docs = table(spark, texts).withColumn("learn", F.lit(True)).withColumn("held_out", F.lit(False)).withColumn("size", F.lit(1))
     rows = suffix_tree_lm.score(docs).collect()
