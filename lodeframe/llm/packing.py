@@ -18,7 +18,7 @@ import zlib
 from array import array
 from codecs import charmap_decode
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,28 +34,55 @@ _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 POOL_TOKENS = 2_000_000
 
 
+class Cache(dict):
+    """Pieces and their ids, found by `ids` where they are not there; bounded by bytes, and pieces over `LONG` bytes are
+    kept until `long` is emptied."""
+
+    #: Bytes of the cache and of the one before it, each.
+    LIMIT, LONG = 30 << 20, 64
+    #: What an entry takes besides its bytes: two objects and a place in the dictionary.
+    ENTRY = 180
+
+    def __init__(self, ids: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ids, self.held = ids, 0
+        self.old: dict[bytes, bytes] = {}  # the cache before, of which what is used again is taken over
+        self.long: dict[bytes, bytes] = {}
+
+    def __missing__(self, s: bytes) -> bytes:
+        if len(s) > self.LONG:
+            if (found := self.long.get(s)) is None:
+                found = self.long[s] = self.ids(s)
+            return found
+        if (found := self.old.get(s)) is None:
+            found = self.ids(s)
+        if self.held > self.LIMIT:
+            self.old, self.held = dict(self), 0
+            super().clear()
+        self[s] = found
+        self.held += len(s) + len(found) + self.ENTRY
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.old, self.long, self.held = {}, {}, 0
+
+
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit bytes, with a bounded cache of words between white space.
 
     The vocabulary splits texts at white space before anything else and drops it, so a text's ids are those of
     its white-space pieces in order. Within a piece, parts without upper-case or special letters go to the
-    model itself; all others go through the tokenizer's whole chain. Caches are bounded by bytes, and pieces over
-    `LONG` bytes (text without blanks, encoded data) are not kept at all.
+    model itself; all others go through the tokenizer's whole chain. A part is held as the piece that it would be on its
+    own. Long pieces (text without blanks, encoded data) are kept for one text only.
     """
 
-    LIMIT, LONG = 20 << 20, 64
-    #: What an entry takes besides its bytes: two objects and a place in the dictionary.
-    ENTRY = 180
-
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # the cache before, of which what is used again is taken over
-        self.words: dict[str, bytes] = {}  # of parts, which pieces with other signs around them share
-        self.held = self.held_words = 0  # bytes of cache and of words
+        self.cache = Cache(self.piece)
         # Parts of a word as the vocabulary's own file splits them; and the bytes' printable forms.
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,52 +92,35 @@ class WordTokenizer:
         # The short way is for ASCII and Latin letters whose composed lower case is one code point.
         self.easy = regex.compile(r"[!-~¡-¬®-įı-ſ]*").fullmatch
 
-    def piece(self, s: str) -> bytes:
-        if "<|" in s or not (s.isascii() and s.isprintable() or self.easy(s)):
-            return array("I", self.tok.encode(s, add_special_tokens=False).ids).tobytes()
-        s = s.lower()
-        if s.isalpha():
-            return self.part(s)
-        return b"".join(map(self.part, self.parts(s)))
-
-    def part(self, s: str) -> bytes:
-        if (found := self.words.get(s)) is None:
-            shown = s if s.isascii() else charmap_decode(s.encode(), "strict", self.shown)[0]
-            found = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-            if len(s) <= self.LONG:
-                if self.held_words > self.LIMIT:
-                    self.words.clear()
-                    self.held_words = 0
-                self.words[s] = found
-                self.held_words += len(s) + len(found) + self.ENTRY
-        return found
+    def piece(self, s: bytes) -> bytes:
+        word = s.rstrip(b".,;:!?")
+        if word.isalpha():  # ASCII letters alone
+            low = word.lower()
+            if low == s:
+                return self.model_ids(s.decode())
+            return self.cache[low] if len(word) == len(s) else self.cache[low] + self.cache[s[len(word) :]]
+        u = s.decode("utf-8", "replace")
+        if "<|" in u or not (u.isascii() and u.isprintable() or self.easy(u)):
+            return array("I", self.tok.encode(u, add_special_tokens=False).ids).tobytes()
+        low = u.lower()
+        parts = [low] if low.isalpha() else self.parts(low)
+        if len(parts) > 1:
+            return b"".join([self.cache[p.encode()] for p in parts])
+        return self.model_ids(u) if parts[0] == u else self.cache[parts[0].encode()]
+
+    def model_ids(self, p: str) -> bytes:
+        shown = p if p.isascii() else charmap_decode(p.encode(), "strict", self.shown)[0]
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
-        pieces, cache = text.split(), self.cache  # bytes split at ASCII white space alone; other kinds stay inside pieces
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            if self.held > self.LIMIT:
-                self.old, self.cache, self.held = cache, {}, 0
-                cache = self.cache
-            old, own = self.old, {}
-            for s in set(pieces):
-                if s not in cache:
-                    if s in old:
-                        ids = old[s]
-                    else:
-                        ids = self.piece(s.decode("utf-8", "replace"))
-                    if len(s) <= self.LONG and self.held <= self.LIMIT:
-                        cache[s] = ids
-                        self.held += len(s) + len(ids) + self.ENTRY
-                    else:
-                        own[s] = ids
-            if own:
-                return b"".join([own[s] if s in own else cache[s] for s in pieces])
-            return b"".join(map(cache.__getitem__, pieces))
+        # Bytes split at ASCII white space alone; other kinds stay inside pieces.
+        ids = b"".join(map(self.cache.__getitem__, text.split()))
+        if self.cache.long:
+            self.cache.long = {}
+        return ids
 
     def clear(self) -> None:
-        self.cache, self.old, self.words, self.held, self.held_words = {}, {}, {}, 0, 0
+        self.cache.clear()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -193,6 +193,31 @@ def test_packing(spark, texts):
     assert packing.pack(empty(table(spark, texts)), VOCAB).count() == 0
 
 
+def test_tokens_of_pieces(monkeypatch):
+    """Ids are those of the whole chain, however small the cache is."""
+    rng = random.Random(8)
+    signs = ["", ",", ".", "...", "!?", "'s", "'", "<|", "<|endoftext|>", "\u00e9", "\u00dc", "\u0130", "\u017f", "7", "12x", "\u4e2d", "e\u0301", "\xa0", "\x00", "y" * 70, "-z" * 40]
+    texts = [" ".join("".join(rng.choice(["foo", "Bar", "BAZ", *signs]) for _ in range(rng.randrange(1, 5))) for _ in range(40)) for _ in range(60)]
+    tok = packing.WordTokenizer(VOCAB)
+    for limit in (packing.Cache.LIMIT, 2_000, 0):
+        monkeypatch.setattr(packing.Cache, "LIMIT", limit)
+        assert [list(array("I", tok(t.encode()))) for t in texts] == [tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not tok.cache.long
+
+
+def test_words_are_held_once():
+    """The room of the caches is not spent on words that are pieces of their own and parts of others."""
+    tok, asked = packing.WordTokenizer(VOCAB), Counter()
+    ask = tok.tokenize
+    tok.tokenize = lambda s: asked.update([s]) or ask(s)
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[i // 20**k % 20] for k in range(5)) for i in range(130_000)]
+    for _ in range(2):
+        for i in range(0, len(words), 1000):
+            tok(" ".join(words[i : i + 1000]).encode())
+    assert set(words) == set(asked) and max(asked.values()) == 1
+
+
 # 4
 def _fingerprint(text):
     ws = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
