@@ -306,3 +306,18 @@ def test_batch_search_in_blocks(spark, monkeypatch):
         for q in range(0, 90, 3):
             want = sorted((d[q, i], i) for i in range(90) if i != q)[:4]
             assert [(r.distance, r.element) for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == want
+
+
+def test_radius_join_is_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BLOCK", 16, raising=False)
+    rng = random.Random(5)
+    here = [(i, rng.uniform(10, 12), rng.uniform(84, 85)) for i in range(400)] + [(400, 11.0, 84.5), (400, 11.0, 84.5)]
+    points = spark.createDataFrame(here, "member long, lon double, lat double").coalesce(1)
+    centres = spark.createDataFrame(here[:90], "id long, clon double, clat double").coalesce(1)
+    found = geo.radius_join(points, centres, 60, "km").withColumn("task", F.spark_partition_id()).collect()
+    d = geo.distance(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"), "km")
+    want = points.crossJoin(centres).withColumn("dist", d).where("dist <= 60").collect()
+    key = lambda r: (r.id, r.member, r.dist)
+    assert want and sorted(map(key, found)) == sorted(map(key, want))
+    tasks = [r.task for r in found]
+    assert max(map(tasks.count, set(tasks))) < len(found) / 4  # one square, but not one task
