@@ -321,3 +321,26 @@ def test_radius_join_is_dealt_by_pairs(spark, monkeypatch):
     assert want and sorted(map(key, found)) == sorted(map(key, want))
     tasks = [r.task for r in found]
     assert max(map(tasks.count, set(tasks))) < len(found) / 4  # one square, but not one task
+
+
+def test_batch_search_holds_no_pairs_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    for name, size in (("QUERIES", 8), ("VECTORS", 16), ("GROUP", 60), ("PART", 50), ("CELLS", 32)):
+        monkeypatch.setattr(vectors, name, size, raising=False)
+    x = np.random.RandomState(2).randn(150, 6).astype(np.float32) * 1000
+    x[50:100] = x[:50]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "element long, embedding array<float>")
+    for kind in ("l2", "cosine", "ip"):
+        found = vectors.batch(df, df.where("element < 40").selectExpr("element AS query", "embedding AS q"), 3, kind)
+        # A row of two blocks is megabytes, and an Arrow batch takes thousands of rows whatever their size.
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+        got = {(r.query, r["rank"]): (r.distance, r.element) for r in found.collect()}
+        for q in range(40):
+            a, b = x[q].astype(float), x.astype(float)
+            d = {"l2": lambda: np.sqrt(((a - b) ** 2).sum(1)), "ip": lambda: -(b @ a), "cosine": lambda: 1 - b @ a / np.sqrt((b * b).sum(1) * (a @ a))}[kind]()
+            want = sorted((max(round(float(d[i]), 10), 0.0) if kind != "ip" else float(d[i]), i) for i in range(150) if i != q)[:3]
+            assert [got[q, i + 1][1] for i in range(3)] == [i for _, i in want]
+            assert np.allclose([got[q, i + 1][0] for i in range(3)], [e for e, _ in want], rtol=1e-12, atol=2e-10)
+        if kind == "l2":
+            assert all(got[q, 1] == (0.0, q + 50) for q in range(40))
