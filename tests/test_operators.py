@@ -344,3 +344,20 @@ def test_batch_search_holds_no_pairs_of_blocks(spark, monkeypatch):
             assert np.allclose([got[q, i + 1][0] for i in range(3)], [e for e, _ in want], rtol=1e-12, atol=2e-10)
         if kind == "l2":
             assert all(got[q, 1] == (0.0, q + 50) for q in range(40))
+
+
+def test_lcs_works_on_many_pairs_at_once(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(3)
+    a, b = ([("".join(rng.choice("abß😀") for _ in range(rng.randrange(0, 14)))) for _ in range(500)] for _ in range(2))
+    a, b = pd.Series([*a, None, "ab"] * 4), pd.Series([*b, "ab", None] * 4)
+    calls, lengths = [], strings._lengths
+    monkeypatch.setattr(strings, "_lengths", lambda x, y: calls.append(1) or lengths(x, y))
+    common, n = strings.lcs.func(a, b).tolist(), strings.lcs_length.func(a, b).tolist()
+    assert len(calls) < 200
+    for p, q, c, k in zip(a, b, common, n, strict=True):
+        if p is None or q is None:
+            assert c is None and pd.isna(k)
+        else:
+            assert c == strings._lcs(p, q)[0] and len(c) == k
