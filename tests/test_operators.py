@@ -361,3 +361,17 @@ def test_lcs_works_on_many_pairs_at_once(monkeypatch):
             assert c is None and pd.isna(k)
         else:
             assert c == strings._lcs(p, q)[0] and len(c) == k
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_bring_few_values_together(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(sketches, "ACCURACY", accuracy, raising=False)
+    rng, qs = random.Random(4), [0.5, 0.0, 0.013, 0.99, 1.0, 0.5]
+    cases = [[rng.gauss(0, 9) for _ in range(3000)] + [None], [rng.choice([1.0, 1.0, -2.0, 1e300]) for _ in range(400)], [7.0], [None], [float("nan"), 1.0, float("inf"), -1.0]]
+    for values in cases:
+        df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+        got = sketches.quantiles(df, "x", qs)
+        want = df.agg(F.percentile("x", F.array(*map(F.lit, qs))).alias("q")).first().q
+        assert repr(got.first().q) == repr(want)
+    plan = sketches.quantiles(spark.range(100_000).selectExpr("id * 1.5D AS x"), "x", [0.25])._jdf.queryExecution().toString()
+    assert "percentile(" not in plan  # which holds all distinct values in one task
