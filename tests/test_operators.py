@@ -375,3 +375,23 @@ def test_quantiles_bring_few_values_together(spark, monkeypatch, accuracy):
         assert repr(got.first().q) == repr(want)
     plan = sketches.quantiles(spark.range(100_000).selectExpr("id * 1.5D AS x"), "x", [0.25])._jdf.queryExecution().toString()
     assert "percentile(" not in plan  # which holds all distinct values in one task
+
+
+def test_pop_sorts_no_whole_sets(spark):
+    here = [(k, m) for k in range(4) for m in range(k * 3)] + [(1, 1)]
+    df, limit = spark.createDataFrame(here, "key long, member long"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        left, drawn = sets.pop(df, 2, "x"), sets.sample(df, 2, "x")
+        assert sorted(map(tuple, left.collect())) == sorted(set(here) - set(map(tuple, drawn.collect())))
+        assert "SortMergeJoin" not in left._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_cardinality_makes_distinct_rows_once(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, None), (None, 3)], "key long, member long")
+    assert sorted(map(tuple, sets.cardinality(df).collect()), key=repr) == sorted([(1, 2), (2, 0), (None, 1)], key=repr)
+    once = lambda x: x._jdf.queryExecution().executedPlan().toString().count("keys=[key")
+    assert once(sets.cardinality(df.distinct())) == once(sets.cardinality(df)) == 4  # two steps each for rows and for keys
